@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.operators import instants
+from loomlog.operators import instants, nested
 from loomlog.util import clean_key, table
 
 
@@ -35,3 +35,26 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p2_instants": p2_instants}
+
+
+def _json_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Every JSON field of the two nested tables once; repeated rows are dropped before they are read."""
+    lines, parts = table(spark, d, "transcript_lines"), table(spark, d, "oc_part")
+    key = F.col("line_id").cast("string").alias("row_key")
+    picked = [lines.select(F.lit("transcript_lines").alias("tbl"), key, F.lit(f).alias("field"), F.col(f).alias("value")) for f in ("message", "toolUseResult")]
+    picked.append(parts.select(F.lit("oc_part").alias("tbl"), F.col("id").alias("row_key"), F.lit("data").alias("field"), F.col("data").alias("value")))
+    return picked[0].unionByName(picked[1]).unionByName(picked[2]).where("value is not null").distinct()
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every element stored under a key `content`, with its parent path and position."""
+    blocks = nested.flatten(_json_fields(spark, d), only="block")
+    return blocks.select("tbl", "row_key", "field", "parent_path", "pos", "block_type").distinct()
+
+
+def p7_tables(spark: SparkSession, d: str) -> DataFrame:
+    """All nodes of the nested fields as tagged rows with links to their parents."""
+    return nested.flatten(_json_fields(spark, d))
+
+
+QUERIES |= {"p7_found": p7_found, "p7_tables": p7_tables}
