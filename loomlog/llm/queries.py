@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.llm import components
-from loomlog.util import clean_digest, table
+from loomlog.llm import components, conversations, tokens
+from loomlog.util import clean_digest, clean_key, spread, table
 
 QUERIES = {}
 ORACLES = {}
@@ -34,3 +34,34 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Every session group that is tied to a smaller one, with the smallest of its component."""
     tied = components.tie(table(spark, d, "frozen_rows"), clean_digest(F.col("session_group")), request_key(F.col("task_key")))
     return tied.where("root < grp").select(F.col("root").alias("group_a"), F.col("grp").alias("group_b"))
+
+
+# ---- problem 5
+
+
+def _v2_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """The sessions that records name and that are kept in a store of version 2."""
+    named = table(spark, d, "records").select(clean_key(F.col("session")).alias("session_id")).distinct()
+    return named.join(table(spark, d, "sessions").where(clean_key(F.col("store")) == "v2").select(clean_key(F.col("id")).alias("session_id")), "session_id", "left_semi")
+
+
+@query
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """The sessions that are dropped, with the reason."""
+    return conversations.defects(table(spark, d, "session_message"), _v2_sessions(spark, d)).where("reason is not null")
+
+
+@query
+def p5_conversations(spark: SparkSession, d: str) -> DataFrame:
+    """The turns of the sound conversations in order."""
+    messages = table(spark, d, "session_message")
+    return conversations.turns(messages, conversations.defects(messages, _v2_sessions(spark, d)))
+
+
+# ---- problem 8
+
+
+@query
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    """The token ids of every document."""
+    return tokens.encode(spread(table(spark, d, "documents").select("doc_id", "text")))
