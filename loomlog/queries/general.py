@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.operators import instants, nested
+from loomlog.operators import drift, instants, nested
 from loomlog.util import clean_key, table
 
 
@@ -58,3 +58,16 @@ def p7_tables(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES |= {"p7_found": p7_found, "p7_tables": p7_tables}
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every change of the fields from one file of a store to the next."""
+    return drift.changes(table(spark, d, "raw_logs")).select("store", "file_no", "field", "change")
+
+
+def p1_table(spark: SparkSession, d: str) -> DataFrame:
+    """All lines of raw_logs in one consistent table, with the values that did not fit."""
+    return drift.consistent(table(spark, d, "raw_logs"))
+
+
+QUERIES |= {"p1_found": p1_found, "p1_table": p1_table}
