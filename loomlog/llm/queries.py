@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.llm import components, conversations, tokens
+from loomlog.llm import components, conversations, overlap, tokens
 from loomlog.util import clean_digest, clean_key, spread, table
 
 QUERIES = {}
@@ -65,3 +65,40 @@ def p5_conversations(spark: SparkSession, d: str) -> DataFrame:
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """The token ids of every document."""
     return tokens.encode(spread(table(spark, d, "documents").select("doc_id", "text")))
+
+
+# ---- problem 3
+
+# Other names of the partitions.
+PARTITION_NAMES = {"training": "train", "dev": "development", "test": "final_test"}
+
+
+def partition_name(c: Column) -> Column:
+    """A partition in its one spelling."""
+    bare = F.regexp_replace(clean_key(c), r"[\s_-]+", "_")
+    return F.coalesce(*[F.when(bare == a, b) for a, b in PARTITION_NAMES.items()], bare)
+
+
+def _split_rows(spark: SparkSession, d: str) -> DataFrame:
+    """frozen_rows with request, command and whether the partition is an evaluation split; null for other partitions."""
+    targets = table(spark, d, "split_targets").select(partition_name(F.col("partition")).alias("split"), "is_evaluation")
+    commands = table(spark, d, "commands_normalized").select("record_id", F.col("request_context").alias("request"), F.coalesce("command_text", F.try_element_at("command_argv", F.lit(-1))).alias("command"))
+    rows = table(spark, d, "frozen_rows").select("id", "record_id", "source_kind", partition_name(F.col("partition")).alias("split")).distinct()
+    # of the splits without evaluation only train is compared
+    rows = rows.join(F.broadcast(targets), "split").where("is_evaluation or split = 'train'")  # a fixed table of four rows
+    return rows.join(commands, "record_id")
+
+
+@query
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every pair of a train and an evaluation row whose requests and commands are equal or almost equal."""
+    return overlap.cross_pairs(_split_rows(spark, d))
+
+
+@query
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    """Per split and source kind: how many rows have an overlap across the splits, and in how many pairs."""
+    rows = _split_rows(spark, d).select("id", "split", "source_kind").distinct()
+    pairs = p3_found(spark, d)
+    ids = pairs.select(F.col("id_a").alias("id")).unionByName(pairs.select(F.col("id_b").alias("id"))).groupBy("id").count()
+    return rows.join(ids, "id", "left").groupBy("split", "source_kind").agg(F.count("*").alias("n_rows"), F.count("count").alias("n_overlapping"), F.coalesce(F.sum("count"), F.lit(0)).alias("n_pairs"))
