@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.llm import components, conversations, overlap, tokens
+from loomlog.llm import components, conversations, overlap, pii, tokens
 from loomlog.util import clean_digest, clean_key, spread, table
 
 QUERIES = {}
@@ -102,3 +102,25 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     pairs = p3_found(spark, d)
     ids = pairs.select(F.col("id_a").alias("id")).unionByName(pairs.select(F.col("id_b").alias("id"))).groupBy("id").count()
     return rows.join(ids, "id", "left").groupBy("split", "source_kind").agg(F.count("*").alias("n_rows"), F.count("count").alias("n_overlapping"), F.coalesce(F.sum("count"), F.lit(0)).alias("n_pairs"))
+
+
+# ---- problem 6
+
+
+def _scan(spark: SparkSession, d: str, redacted: bool) -> DataFrame:
+    given = [r[0] for r in table(spark, d, "given_names").select("given_name").where("given_name is not null").collect()]  # a fixed table of sixty rows
+    records = pii.scan(spread(table(spark, d, "records").select("ordinal", "cmd", "out", "cwd")), "records", "ordinal", ["cmd", "out", "cwd"], given, redacted)
+    requests = table(spark, d, "commands_normalized").select("record_id", "request_context").distinct()
+    return records.unionByName(pii.scan(requests, "commands_normalized", "record_id", ["request_context"], given, redacted))
+
+
+@query
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Which kinds of personal information each field holds."""
+    return _scan(spark, d, False)
+
+
+@query
+def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Every text with typed placeholders in the place of personal information."""
+    return _scan(spark, d, True)
