@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.llm import components, conversations, overlap, pii, tokens
+from loomlog.llm import components, conversations, overlap, packing, pii, sentences, tokens
 from loomlog.util import clean_digest, clean_key, spread, table
 
 QUERIES = {}
@@ -124,3 +124,25 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
     """Every text with typed placeholders in the place of personal information."""
     return _scan(spark, d, True)
+
+
+# ---- problem 10
+
+
+@query
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """The sentence units of every document."""
+    docs = spread(table(spark, d, "documents").select("doc_id", "lang", "text"))
+    return sentences.split(docs, sentences.learn(docs))
+
+
+# ---- problem 9
+
+#: fixed value: the capacity of a container in tokens
+CAPACITY = 2048
+
+
+@query
+def p9_containers(spark: SparkSession, d: str) -> DataFrame:
+    """The container of every document, or of every part of a document that is longer than a container."""
+    return packing.pack(tokens.count(spread(table(spark, d, "documents").select("doc_id", "text"))), CAPACITY)
