@@ -1,41 +1,45 @@
 """Same or almost same records across splits (problem 3).
 
 Texts that are equal after normalisation form one class, so copies never meet
-each other. The word-start suffixes of all classes make up a suffix array that
-is partitioned by the leading characters. One pass over each sorted partition
-ties neighbours, and the nearest neighbours of the two sides, by their common
-prefix; the shared spans of a pair are merged into the coverage of its records.
-Pairs with enough coverage are checked by edit distance. As each suffix names
-only its neighbours, pairs of one family may be tied through a third text:
-components of checked ties are completed pair by pair.
+each other. Every train class is compared with every evaluation class whose
+lengths are near enough, so nothing rests on where the edits are: the requests
+are dealt into blocks by length band, and one task takes one pair of blocks.
+
+Within a block pair, pairs are dropped only by a bound that holds for every pair
+within the limit: one edit changes at most GRAM of a text's n-grams (counted
+with repetitions), so of the n-grams of a text all but GRAM times the allowed
+edits must occur in the other. N-grams are hashed to BITS places; a collision can
+only keep a pair. What is left is checked by edit distance.
 
 Cases and their results:
 - a null part counts as the empty text; texts below the least number of words
   have no overlap; case and the amount of white space do not count;
-- a leading span with more than HOT suffixes is split by the whole stored
-  prefix, and equal prefixes are salted: their order among each other is
-  arbitrary anyway;
+- a request with many commands is dealt as units of about UNIT commands, so it
+  spreads over blocks and is still compared with itself as a whole;
 - a record in both or in no split, empty tables: no rows.
+
+The work grows with the square of the distinct requests in neighbouring length
+bands: edits up to a fifth leave spans of under five characters in common, which
+is too short to look pairs up by.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.llm.components import connected_components
 from loomlog.util import barrier, cut
 
-#: leading characters by which suffixes are partitioned, and stored characters of a suffix
-LEAD, STORED = 24, 48
-#: suffixes with one leading span from which it is split further
-HOT = 100_000
-#: share of a text that shared spans must cover for the pair to be checked
-COVERAGE = 0.2
-TIES = "a long, b long, start int, stop int, len int"
+#: edits of a pair are at most 1/PART of the characters of the longer text
+PART = 5
+#: length of the n-grams, places of a request's and bits of a command's n-grams
+GRAM, PLACES, BITS = 3, 4096, 1024
+#: requests in a block, commands in a unit of one request, rows compared at once, command pairs compared at once
+BLOCK, UNIT, SLICE, PAIRS = 4096, 64, 512, 500_000
 
 
 def squeeze(c: Column) -> Column:
@@ -43,61 +47,135 @@ def squeeze(c: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " ")))
 
 
-def _common(a: str, b: str) -> int:
-    n = min(len(a), len(b))
-    if a[:n] == b[:n]:
-        return n
-    lo, hi = 0, n
-    while lo < hi:
-        mid = (lo + hi + 1) // 2
-        if a[:mid] == b[:mid]:
-            lo = mid
-        else:
-            hi = mid - 1
-    return lo
-
-
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ties of each suffix to the one before it and to the last one of the other side."""
-    last: dict = {}  # side -> [common prefix with the current suffix, class]
-    before, before_class = "", None
-    for batch in batches:
-        out = []
-        for suffix, cls, side, pos, size in zip(*(batch.column(i).to_pylist() for i in range(5))):
-            common = _common(before, suffix)
-            for entry in last.values():
-                entry[0] = min(entry[0], common)
-            ties = {entry[1]: entry[0] for s, entry in last.items() if s != side or s == 3}
-            if before_class is not None:
-                ties[before_class] = common
-            out += [(cls, other, pos, pos + n, size) for other, n in ties.items() if n >= LEAD and other != cls]
-            for s in (1, 2) if side == 3 else (side,):
-                last[s] = [len(suffix), cls]
-            before, before_class = suffix, cls
-        columns = list(zip(*out)) if out else [[]] * 5
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["a", "b", "start", "stop", "len"])
-
-
-def suffixes(classes: DataFrame) -> DataFrame:
-    """(suffix, cls, side, pos, size): the suffixes at word starts of classes (cls, side, text)."""
-    places = F.expr("filter(sequence(1, length(text)), i -> i = 1 OR substr(text, i - 1, 1) = ' ')")
-    at = classes.withColumn("pos", F.explode(places))
-    return at.select(F.expr(f"substr(text, pos, {STORED})").alias("suffix"), "cls", "side", "pos", F.length("text").alias("size")).where(F.length("suffix") >= LEAD)
-
-
-def spans(classes: DataFrame) -> DataFrame:
-    """(a, b, coverage): pairs of classes with the share of the text of a that spans shared with b cover."""
-    array = suffixes(classes)
-    lead = F.xxhash64(F.substring("suffix", 1, LEAD))
-    hot = array.groupBy(lead.alias("lead")).count().where(F.col("count") > HOT).select("lead", F.lit(True).alias("hot"))
-    array = array.join(hot, lead == F.col("lead"), "left").select("suffix", "cls", "side", "pos", "size", "hot")
-    # the place is an expression, not a column: it is not written with each suffix
-    place = F.when(F.col("hot"), F.xxhash64("suffix", F.when(F.length("suffix") == STORED, F.col("cls") % 16))).otherwise(lead)
-    ties = array.repartition(place).drop("hot").sortWithinPartitions("suffix", "side", "cls").mapInArrow(_neighbours, TIES)
-    pair = ties.groupBy("a", "b").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"), F.first("len").alias("len"))
-    covered = F.aggregate("spans", F.struct(F.lit(0).alias("to"), F.lit(0).alias("sum")), lambda acc, s: F.struct(F.greatest(acc["to"], s["stop"]).alias("to"), (acc["sum"] + F.greatest(s["stop"] - F.greatest(acc["to"], s["start"]), F.lit(0))).alias("sum")))["sum"]
-    return pair.select("a", "b", (covered / F.col("len")).alias("coverage"))
+def _grams(texts: list[str], places: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, place) of every n-gram; the k-th copy of an n-gram has another place than the first."""
+    size = np.array([len(t) for t in texts], np.int64)
+    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    owner = np.repeat(np.arange(len(texts)), size)
+    n = max(len(code) - GRAM + 1, 0)
+    within = owner[:n] == owner[GRAM - 1 :][:n]
+    gram = np.zeros(n, np.uint64)
+    for k in range(GRAM):
+        gram = gram * np.uint64(1 << 21) + code[k : k + n]  # a code point has 21 bits
+    gram, owner = gram[within], owner[:n][within]
+    order = np.lexsort((gram, owner))
+    gram, owner = gram[order], owner[order]
+    first = np.ones(len(gram), bool)
+    first[1:] = (gram[1:] != gram[:-1]) | (owner[1:] != owner[:-1])
+    at = np.arange(len(gram))
+    copy = (at - np.maximum.accumulate(np.where(first, at, 0))).astype(np.uint64)
+    mixed = (gram + copy * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return owner, ((mixed >> np.uint64(33)) % np.uint64(places)).astype(np.int64)
+
+
+def _places(texts: list[str]) -> np.ndarray:
+    out = np.zeros((len(texts), PLACES), np.float32)
+    out[_grams(texts, PLACES)] = 1
+    return out
+
+
+def _bits(texts: list[str]) -> np.ndarray:
+    out = np.zeros((len(texts), BITS // 64), np.uint64)
+    owner, place = _grams(texts, BITS)
+    np.bitwise_or.at(out, (owner, place // 64), np.uint64(1) << (place % 64).astype(np.uint64))
+    return out
+
+
+class _Side:
+    """The units of one block in order of their requests' lengths, and their commands."""
+
+    def __init__(self, t: pa.Table) -> None:
+        requests, commands, classes = t["request"].to_pylist(), t["commands"].to_pylist(), t["classes"].to_pylist()
+        order = sorted(range(len(requests)), key=lambda i: len(requests[i]))
+        self.requests = [requests[i] for i in order]
+        self.size = np.array([len(x) for x in self.requests], np.int64)
+        self.n = np.array([len(commands[i]) for i in order], np.int64)
+        self.start = np.cumsum(self.n) - self.n
+        flat = [c for i in order for c in commands[i]]
+        self.classes = np.array([c for i in order for c in classes[i]], np.int64)
+        self.command_size = np.array([len(c) for c in flat], np.int64)
+        self.bits = _bits(flat)
+        self.set = np.bitwise_count(self.bits).sum(1).astype(np.int64)
+
+
+def _near_commands(a: _Side, b: _Side, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the unit pairs (i, j) the pairs of classes whose commands pass the bounds."""
+    n = a.n[i] * b.n[j]
+    pair = np.repeat(np.arange(len(i)), n)
+    at = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)
+    x, y = a.start[i[pair]] + at // b.n[j[pair]], b.start[j[pair]] + at % b.n[j[pair]]
+    most = np.maximum(a.command_size[x], b.command_size[y]) // PART
+    near = np.abs(a.command_size[x] - b.command_size[y]) <= most
+    x, y, most = x[near], y[near], most[near]
+    common = np.bitwise_count(a.bits[x] & b.bits[y]).sum(1)
+    near = common >= np.maximum(a.set[x], b.set[y]) - GRAM * most
+    return a.classes[x[near]], b.classes[y[near]]
+
+
+def _compare(train: pa.Table, held: pa.Table) -> pa.Table:
+    """(a, b): the class pairs of two blocks that may be near."""
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    if train.num_rows and held.num_rows:
+        a, b = _Side(train), _Side(held)
+        there = _places(b.requests)
+        there_set = there.sum(1)
+        for s in range(0, len(a.requests), SLICE):
+            size = a.size[s : s + SLICE]
+            # lengths within the limit of any text of the slice
+            lo, hi = np.searchsorted(b.size, size[0] - size[0] // PART - 1), np.searchsorted(b.size, size[-1] + size[-1] // (PART - 1) + 1, "right")
+            if lo == hi:
+                continue
+            here = _places(a.requests[s : s + SLICE])
+            common = here @ there[lo:hi].T
+            most = np.maximum(size[:, None], b.size[None, lo:hi]) // PART
+            near = (np.abs(size[:, None] - b.size[None, lo:hi]) <= most) & (common >= np.maximum(here.sum(1)[:, None], there_set[None, lo:hi]) - GRAM * most)
+            i, j = np.nonzero(near)
+            i, j = i + s, j + lo
+            part = np.cumsum(a.n[i] * b.n[j]) // PAIRS
+            for cut_i, cut_j in zip(*(np.split(v, np.flatnonzero(np.diff(part)) + 1) for v in (i, j))):
+                x, y = _near_commands(a, b, cut_i, cut_j)
+                left.append(x)
+                right.append(y)
+    return pa.table({"a": np.concatenate(left), "b": np.concatenate(right)})
+
+
+def _units(classes: DataFrame) -> DataFrame:
+    """(band, request, commands, classes): the commands of a request in units of about UNIT."""
+    n = classes.groupBy("request").agg(F.count("*").alias("n"))
+    dealt = classes.join(n, "request").withColumn("unit", F.expr(f"pmod(xxhash64(command, 'unit'), greatest(1, n DIV {UNIT}))"))
+    unit = dealt.groupBy("request", "unit").agg(F.collect_list(F.struct("command", "cls")).alias("c"))
+    # lengths that differ by a fifth of the longer are in the same or in neighbouring bands
+    band = F.floor(F.log(F.greatest(F.length("request"), F.lit(1)).cast("double")) / F.lit(math.log(PART / (PART - 1))) + F.lit(1e-9))
+    return unit.select(band.cast("int").alias("band"), "request", F.col("unit"), F.col("c.command").alias("commands"), F.col("c.cls").alias("classes"))
+
+
+def candidates(classes: DataFrame) -> DataFrame:
+    """(a, b): pairs of a train and an evaluation class of (cls, side, request, command) that hold every pair within the limit."""
+    sides = [cut(_units(classes.where(F.col("side").isin(s, 3)))) for s in (1, 2)]
+    # a band for each quarter of length: a few dozen rows
+    blocks = [{r["band"]: -(-r["count"] // BLOCK) for r in s.groupBy("band").count().collect()} for s in sides]
+    matches = [(t, i, e, j) for t, n in blocks[0].items() for e in (t - 1, t, t + 1) for i in range(n) for j in range(blocks[1].get(e, 0))]
+    if not matches:
+        return classes.sparkSession.createDataFrame([], "a long, b long")
+    dealt = []
+    for s, n in zip(sides, blocks):
+        other = blocks[1] if s is sides[0] else blocks[0]
+        size = F.lit(1)
+        for band, count in n.items():
+            if count > 1:
+                size = F.when(F.col("band") == band, count).otherwise(size)
+        own = F.expr("pmod(xxhash64(request, unit), _n)").cast("int")
+        places = F.lit(None).cast("array<struct<band:int,block:int>>")
+        for band in n:
+            met = [(e, j) for e in (band - 1, band, band + 1) for j in range(other.get(e, 0))]
+            if met:
+                places = F.when(F.col("band") == band, F.expr("array(" + ",".join(f"named_struct('band', {e}, 'block', {j})" for e, j in met) + ")")).otherwise(places)
+        d = s.withColumn("_n", size.cast("long")).withColumn("block", own).withColumn("other", F.explode(places))
+        mine, theirs = F.struct("band", "block"), F.struct(F.col("other.band").alias("band"), F.col("other.block").alias("block"))
+        key = F.struct(mine.alias("t"), theirs.alias("e")) if s is sides[0] else F.struct(theirs.alias("t"), mine.alias("e"))
+        dealt.append(d.select(F.to_json(key).alias("pair"), "request", "commands", "classes").repartition(len(matches), "pair"))
+    return dealt[0].groupBy("pair").cogroup(dealt[1].groupBy("pair")).applyInArrow(_compare, "a long, b long")
 
 
 def _checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -105,12 +183,9 @@ def _checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     left = texts.select(F.col("cls").alias("a"), F.col("request").alias("ra"), F.col("command").alias("ca"))
     right = texts.select(F.col("cls").alias("b"), F.col("request").alias("rb"), F.col("command").alias("cb"))
     both = pairs.join(left, "a").join(right, "b")
-    for x, y in (("ra", "rb"), ("ca", "cb")):
-        most = f"CAST(greatest(length({x}), length({y})) DIV 5 AS INT)"
-        both = both.where(f"abs(length({x}) - length({y})) <= {most}")
     for x, y in (("ca", "cb"), ("ra", "rb")):
-        most = f"CAST(greatest(length({x}), length({y})) DIV 5 AS INT)"
-        both = barrier(both.withColumn("_near", F.expr(f"{x} = {y} OR levenshtein({x}, {y}) <= {most}"))).where("_near").drop("_near")
+        most = f"CAST(greatest(length({x}), length({y})) DIV {PART} AS INT)"
+        both = barrier(both.withColumn("_near", F.expr(f"{x} = {y} OR levenshtein({x}, {y}, {most}) >= 0"))).where("_near").drop("_near")
     return both.select("a", "b")
 
 
@@ -122,15 +197,7 @@ def cross_pairs(rows: DataFrame, least_words: int = 8) -> DataFrame:
     side = F.max(F.when(F.col("is_evaluation"), 2).otherwise(0)) + F.max(F.when(F.col("is_evaluation"), 0).otherwise(1))
     # the texts are kept once per class, the rows only by the number of their class
     classes, rows = cut(rows.groupBy("cls").agg(F.first("request").alias("request"), F.first("command").alias("command"), side.alias("side"))), rows.select("id", "is_evaluation", "cls")
-    # one text per class: the request runs on into its command, so a hot request is told apart by what follows
-    shared = spans(classes.select("cls", "side", F.concat_ws(" ", "request", "command").alias("text"))).where(F.col("coverage") >= COVERAGE)
-    texts = classes.select("cls", "request", "command")
-    ties = cut(_checked(shared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), texts))
-    family = connected_components(ties)
-    member = family.select(F.col("node").alias("cls"), "root").unionByName(family.select(F.col("root").alias("cls"), "root").distinct()).join(classes.select("cls", "side"), "cls")
-    train, held = member.where("side in (1, 3)").select(F.col("cls").alias("a"), "root"), member.where("side in (2, 3)").select(F.col("cls").alias("b"), "root")
-    known = _checked(train.join(held, "root").where("a <> b").select("a", "b"), texts)
-    pairs = known.unionByName(classes.where("side = 3").select(F.col("cls").alias("a"), F.col("cls").alias("b")))
+    pairs = _checked(candidates(classes), classes.select("cls", "request", "command"))
     left = rows.where("not is_evaluation").select(F.col("cls").alias("a"), F.col("id").alias("i"))
     right = rows.where("is_evaluation").select(F.col("cls").alias("b"), F.col("id").alias("j"))
     return pairs.join(left, "a").join(right, "b").where("i <> j").select(F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b")).distinct()

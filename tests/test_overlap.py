@@ -1,0 +1,95 @@
+"""p3_found: every pair within a fifth of edits comes out, wherever the edits are."""
+
+import random
+
+import pyarrow as pa
+import pytest
+from pyspark.sql import SparkSession
+
+from loomlog.llm import overlap
+
+
+@pytest.fixture(scope="module")
+def spark():
+    return SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", 4).config("spark.ui.enabled", "false").getOrCreate()
+
+
+def levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, left = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(left[j] + 1, row[-1] + 1, left[j - 1] + (x != y)))
+    return row[-1]
+
+
+def near(a, b):
+    return levenshtein(a, b) <= max(len(a), len(b)) // 5
+
+
+def found(spark, rows):
+    df = spark.createDataFrame(rows, "id string, is_evaluation boolean, request string, command string")
+    return {(r.id_a, r.id_b) for r in overlap.cross_pairs(df).collect()}
+
+
+def family(seed, n, alphabet="abcdefghij klmnop/-._"):
+    """Commands under one request and near copies of them with a fifth of the letters changed, evenly spread."""
+    rng = random.Random(seed)
+    out = []
+    for k in range(n):
+        base = "".join(rng.choice(alphabet.replace(" ", "")) for _ in range(rng.randint(30, 60)))
+        copy = list(base)
+        for at in range(2, len(base), 5)[: len(base) // 5]:
+            copy[at] = "#"
+        out += [(f"t{k:03}", False, base), (f"v{k:03}", True, "".join(copy))]
+    return out
+
+
+def test_edits_every_five_characters_under_one_request(spark):
+    request = "please look at the failing build and tell me what is wrong with it"
+    rows = [(i, e, request, c) for i, e, c in family(1, 150)]
+    want = {(a[0], b[0]) for a in rows for b in rows if not a[1] and b[1] and a[0][1:] == b[0][1:]}
+    assert len(want) == 150 and all(near(a[3], b[3]) for a in rows for b in rows if (a[0], b[0]) in want)
+    assert found(spark, rows) == want
+
+
+def test_equal_to_exhaustive_comparison(spark):
+    rng = random.Random(2)
+    words = "check the log of service and restart when port file is busy now run all tests again".split()
+    rows = []
+    for k in range(60):
+        request = " ".join(rng.choice(words) for _ in range(12))
+        command = " ".join(rng.choice(words) for _ in range(5))
+        rows.append((f"a{k:03}", False, request, command))
+        r, c = list(request), list(command)
+        for text in (r, c):
+            for _ in range(rng.randint(0, len(text) // 4)):
+                text[rng.randrange(len(text))] = rng.choice("xyz")
+        rows.append((f"b{k:03}", True, "".join(r), "".join(c)))
+    want = {(a[0], b[0]) for a in rows for b in rows if not a[1] and b[1] and near(a[2], b[2]) and near(a[3], b[3])}
+    assert len(want) > 20
+    assert found(spark, rows) == want
+
+
+def test_blocks_and_units_do_not_change_the_result(spark, monkeypatch):
+    request = "please look at the failing build and tell me what is wrong with it"
+    rows = [(i, e, request + " now" * (k % 7), c) for k, (i, e, c) in enumerate(family(4, 60))]
+    whole = found(spark, rows)
+    monkeypatch.setattr(overlap, "BLOCK", 3)
+    monkeypatch.setattr(overlap, "UNIT", 4)
+    assert whole and found(spark, rows) == whole
+
+
+def test_slices_do_not_change_the_result(monkeypatch):
+    request = "please look at the failing build and tell me what is wrong with it"
+    rows = [(k, e, request + " now" * (k % 7), c) for k, (_, e, c) in enumerate(family(5, 60))]
+    a, b = (pa.table({"request": [r[2] for r in rows if r[1] == e], "commands": [[r[3]] for r in rows if r[1] == e], "classes": [[r[0]] for r in rows if r[1] == e]}) for e in (False, True))
+    pairs = lambda t: sorted(zip(t["a"].to_pylist(), t["b"].to_pylist()))
+    whole = pairs(overlap._compare(a, b))
+    monkeypatch.setattr(overlap, "SLICE", 2)
+    monkeypatch.setattr(overlap, "PAIRS", 10)
+    assert whole and pairs(overlap._compare(a, b)) == whole
+
+
+def test_no_rows(spark):
+    assert found(spark, []) == set()
