@@ -93,3 +93,12 @@ def test_slices_do_not_change_the_result(monkeypatch):
 
 def test_no_rows(spark):
     assert found(spark, []) == set()
+
+
+def test_long_request_that_differs_in_its_last_character(spark):
+    """Short commands after one long request: all first 48 characters of the suffixes in it are equal."""
+    rng = random.Random(3)
+    request = " ".join(rng.choice(["stage", "review", "pipeline", "every", "list", "that", "should"]) for _ in range(30))
+    commands = ["".join(rng.choice("abcdefghij") for _ in range(20)) for _ in range(40)]
+    rows = [(f"{s}{k:03}", s == "b", request + mark, c) for k, c in enumerate(commands) for s, mark in (("a", "."), ("b", "!"))]
+    assert found(spark, rows) == {(f"a{k:03}", f"b{k:03}") for k in range(40)}
