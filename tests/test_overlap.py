@@ -102,3 +102,13 @@ def test_long_request_that_differs_in_its_last_character(spark):
     commands = ["".join(rng.choice("abcdefghij") for _ in range(20)) for _ in range(40)]
     rows = [(f"{s}{k:03}", s == "b", request + mark, c) for k, c in enumerate(commands) for s, mark in (("a", "."), ("b", "!"))]
     assert found(spark, rows) == {(f"a{k:03}", f"b{k:03}") for k in range(40)}
+
+
+def test_span_that_occurs_more_than_a_hundred_thousand_times(spark):
+    rng = random.Random(6)
+    request = " ".join(["na"] * 400)
+    rows = []
+    for k in range(130):
+        command = "".join(rng.choice("abcdefghij") for _ in range(40))
+        rows += [(f"a{k:03}", False, request, command), (f"b{k:03}", True, request, command[:20] + "#" + command[21:])]
+    assert found(spark, rows) == {(f"a{k:03}", f"b{k:03}") for k in range(130)}
