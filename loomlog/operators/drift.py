@@ -20,6 +20,7 @@ Cases and their results:
 
 from __future__ import annotations
 
+import functools
 import itertools
 import json
 import math
@@ -33,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomlog.operators.nested import read_json
-from loomlog.util import spread
+from loomlog.util import cut, spread
 
 #: counters of a content sketch; with the number of fields this bounds the profile of a file
 SKETCH = 512
@@ -200,26 +201,68 @@ def changes(lines: DataFrame) -> DataFrame:
     return profiles(lines).repartition("store").sortWithinPartitions("store", "file_no").mapInArrow(_inherit, CHANGES)
 
 
-def canonical_names(report: DataFrame, most: int = 10_000) -> dict[str, str]:
-    """For each name that a renaming touches the name of its column: the smallest of those tied to it.
+def _together(files: DataFrame, names: list[str]) -> set[tuple[str, str]]:
+    """The pairs of names, smaller first, that occur in one file of (store, file_no, fields); bounded by the vocabulary."""
+    of = F.array_sort(F.array_intersect("fields", F.array(*[F.lit(n) for n in names]))) if names else F.array().cast("array<string>")
+    one = files.select(of.alias("f")).distinct().select("f", F.explode("f").alias("a"))
+    pairs = one.select("a", F.explode("f").alias("b")).where("a < b").distinct()
+    return {(r["a"], r["b"]) for r in pairs.collect()}
 
-    Only distinct pairs of names reach the driver; their number is bounded by
-    the vocabulary of field names, and more than `most` raise an error.
+
+def canonical_names(renames: DataFrame, files: DataFrame, most: int = 10_000) -> dict[str, str]:
+    """For each name that is another spelling of a field in all stores the name of its column: the smallest of those tied to it.
+
+    Only renamings between related names count beyond their store, those of most stores first, and two groups are
+    never united if a name of one occurs in one file with a name of the other. Only distinct pairs of names reach
+    the driver; their number is bounded by the vocabulary of field names, and more than `most` raise an error.
     """
-    pairs = report.where("change = 'renamed'").select("old_field", "field").distinct().limit(most + 1).collect()
+    pairs = renames.groupBy("old_field", "field").agg(F.count_distinct("store").alias("n")).limit(most + 1).collect()
     if len(pairs) > most:
         raise ValueError(f"more than {most} renamed pairs of field names")
-    root: dict[str, str] = {}
-
-    def find(x: str) -> str:
-        while root.setdefault(x, x) != x:
-            x = root[x]
-        return x
-
-    for a, b in pairs:
-        x, y = sorted((find(a), find(b)))
-        root[y] = x
-    return {x: find(x) for x in root}
+    pairs = sorted((-r["n"], r["old_field"], r["field"]) for r in pairs if related(r["old_field"], r["field"]))
+    group = {x: {x} for p in pairs for x in p[1:]}
+    met = _together(files, sorted(group))
+    for _, a, b in pairs:
+        x, y = group[a], group[b]
+        if x is not y and not any((min(m, n), max(m, n)) in met for m in x for n in y):
+            x |= y
+            for m in y:
+                group[m] = x
+    return {x: min(g) for x, g in group.items()}
+
+
+def _store_columns(canonical: dict[str, str]):
+    """A function from the files of one store (store, file_no, fields, renames) to the columns of names that differ in a file from the canonical ones."""
+
+    def run(t: pa.Table) -> pa.Table:
+        files = sorted(t.to_pylist(), key=lambda r: (r["file_no"] is None, r["file_no"]))
+        touched = {x for r in files for a, b in r["renames"] or [] for x in (a, b)}
+        out = []
+        if touched:
+            column = {n: canonical.get(n, n) for r in files for n in r["fields"] or []}
+            sets = {frozenset(r["fields"] or []) for r in files}
+            own = dict(column)
+            for r in files:
+                for old, new in sorted(r["renames"] or []):
+                    to = column.get(old, canonical.get(old, old))
+                    # names of one column never occur in one file of the store
+                    if not any(new in f and any(column[n] == to for n in f if n != new) for f in sets):
+                        column[new] = to
+                differ = {n: column[n] for n in r["fields"] or [] if column[n] != own[n]}
+                if differ:
+                    out.append((r["store"], r["file_no"], list(differ.items())))
+        columns = list(zip(*out)) if out else [[]] * 3
+        types = [pa.string(), pa.int32(), pa.map_(pa.string(), pa.string())]
+        return pa.table({n: pa.array(c, k) for n, c, k in zip(("store", "file_no", "local"), columns, types)})
+
+    return run
+
+
+def local_columns(renames: DataFrame, files: DataFrame, canonical: dict[str, str]) -> DataFrame:
+    """(store, file_no, local): the columns of names that a renaming of this store ties to another name from this file or an earlier one on."""
+    events = renames.groupBy("store", "file_no").agg(F.collect_set(F.array("old_field", "field")).alias("renames"))
+    of = files.alias("f").join(events.alias("e"), F.col("f.store").eqNullSafe(F.col("e.store")) & (F.col("f.file_no") == F.col("e.file_no")), "left").select("f.store", "f.file_no", "f.fields", "e.renames")
+    return of.groupBy("store").applyInArrow(_store_columns(canonical), "store string, file_no int, local map<string,string>")
 
 
 def _value(v: Column, kind: str) -> Column:
@@ -231,21 +274,48 @@ def consistent(lines: DataFrame, most: int = 2_000) -> DataFrame:
     """All lines in one table: store, file_no, file_name, line_no, readable, a typed column per field, failed_casts.
 
     A column takes the type that most of its values have; values that do not
-    fit are null and named in failed_casts. The names of columns
-    are bounded by the vocabulary of field names, more than `most` raise.
+    fit are null and named in failed_casts, and so is a name whose value gives
+    way to another name of its column in the same line. A renaming holds in its
+    store from its file on; between related names that never meet in a file it
+    holds in all stores. The names of columns are bounded by the vocabulary of
+    field names, more than `most` raise.
     """
-    report_names = canonical_names(changes(lines))
-    values = lines.withColumn("_v", F.try_parse_json("raw"))
-    fields = lines.select(F.explode(F.map_keys(F.from_json("raw", "map<string,string>"))).alias("field")).distinct()
-    names = [r["field"] for r in fields.limit(most + 1).collect()]
+    renames = cut(changes(lines).where("change = 'renamed'").select("store", "file_no", "old_field", "field"))
+    fields = lines.select("store", F.col("file_no").cast("int").alias("file_no"), F.explode(F.map_keys(F.from_json("raw", "map<string,string>"))).alias("field")).distinct()
+    files = cut(fields.groupBy("store", "file_no").agg(F.collect_list("field").alias("fields")))
+    names = [r["field"] for r in files.select(F.explode("fields").alias("field")).distinct().limit(most + 1).collect()]
     if len(names) > most:
         raise ValueError(f"more than {most} field names")
+    canonical = canonical_names(renames, files)
+    local = cut(local_columns(renames, files, canonical))
+    moved = [(r["key"], r["value"]) for r in local.select(F.explode("local")).distinct().limit(most + 1).collect()]
+    if len(moved) > most:
+        raise ValueError(f"more than {most} columns of renamed fields")
+    on = F.col("l.store").eqNullSafe(F.col("m.store")) & (F.col("l.file_no").cast("int") == F.col("m.file_no"))
+    values = lines.alias("l").join(local.alias("m"), on, "left").select("l.*", "m.local").withColumn("_v", F.try_parse_json("raw"))
     groups: dict[str, list[str]] = {}
     for name in sorted(names):
-        groups.setdefault(report_names.get(name, name), []).append(name)
+        groups.setdefault(canonical.get(name, name), []).append(name)
+    for name, c in sorted(moved):
+        if name not in groups.setdefault(c, []):
+            groups[c].append(name)
     at = lambda name: F.try_variant_get("_v", "$['" + name.replace("'", "\\'") + "']", "variant")
-    raws = {c: F.coalesce(*[at(n) for n in members]) for c, members in groups.items()}
-    readable = values.select("store", "file_no", "file_name", "line_no", F.col("_v").isNotNull().alias("readable"), *[v.alias(f"f_{c}") for c, v in raws.items()])
+    moving = {n for n, _ in moved}
+
+    def value(n: str, c: str) -> Column:
+        """The value under name n where n belongs to column c."""
+        if n not in moving:
+            return at(n)
+        return F.when(F.coalesce(F.try_element_at("local", F.lit(n)), F.lit(canonical.get(n, n))) == c, at(n))
+
+    raws = {c: F.coalesce(*[value(n, c) for n in members]) for c, members in groups.items()}
+    # a name whose value is not the first of its column in a line
+    present = lambda n, c: value(n, c).isNotNull()
+    displaced = [
+        F.when(present(n, c) & functools.reduce(Column.__or__, [present(m, c) for m in members[:k]]), F.lit(n)) for c, members in groups.items() for k, n in enumerate(members) if k
+    ]
+    displaced = F.array_compact(F.array(*displaced)) if displaced else F.array().cast("array<string>")
+    readable = values.select("store", "file_no", "file_name", "line_no", F.col("_v").isNotNull().alias("readable"), displaced.alias("_displaced"), *[v.alias(f"f_{c}") for c, v in raws.items()])
     # one pass counts how many values of each column have which JSON type
     json_types = {"boolean": "BOOLEAN", "bigint": "BIGINT", "double": "D[EO]", "string": "STRING|OBJECT|ARRAY"}
     seen = {c: F.schema_of_variant(f"f_{c}") for c in groups}
@@ -256,4 +326,4 @@ def consistent(lines: DataFrame, most: int = 2_000) -> DataFrame:
         typed = _value(F.col(f"f_{c}"), kind)
         out.append(typed.alias(c))
         failed.append(F.when(F.col(f"f_{c}").isNotNull() & (seen[c] != "VOID") & typed.isNull(), F.lit(c)))
-    return readable.select("store", "file_no", "file_name", "line_no", "readable", *out, F.array_compact(F.array(*failed)).alias("failed_casts") if failed else F.array().cast("array<string>").alias("failed_casts"))
+    return readable.select("store", "file_no", "file_name", "line_no", "readable", *out, F.array_union(F.array_compact(F.array(*failed)), "_displaced").alias("failed_casts") if failed else F.array().cast("array<string>").alias("failed_casts"))
