@@ -36,6 +36,14 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return tied.where("root < grp").select(F.col("root").alias("group_a"), F.col("grp").alias("group_b"))
 
 
+@query
+def p4_splits(spark: SparkSession, d: str) -> DataFrame:
+    """The new partition of every row; rows tied by a session group or a request are in one partition."""
+    targets = table(spark, d, "split_targets").where("partition is not null").collect()  # a fixed table of four rows
+    rows = components.rooted(table(spark, d, "frozen_rows"), F.col("id"), clean_digest(F.col("session_group")), request_key(F.col("task_key")), F.col("labels.execution"))
+    return components.splits(rows, {r["partition"]: r["share"] for r in targets}).withColumnRenamed("split", "partition")
+
+
 # ---- problem 5
 
 
