@@ -4,8 +4,9 @@ Rows are read once in Arrow batches. The reply graph of a session ties each
 message to the one before it and each tool result to the use that it names.
 It is sorted topologically with Kahn's algorithm, ties broken by time, in
 blocks of BLOCK consecutive sequence numbers, so a session with a third of all
-rows is dealt to many tasks; messages left over lie on a cycle. Ties between
-blocks are checked by one aggregate over the ids left open in each block.
+rows is dealt to many tasks. Whether a result comes before its use, or a use has
+no result, is decided by one aggregate over the first use and the first result
+of each tool id in all blocks.
 
 Cases and their results:
 - a session id counts without blanks and case; the speaker is the type, or the
@@ -42,8 +43,8 @@ SPEAKERS = {"user": "user", "human": "user", "assistant": "assistant", "model":
 
 ROW = "session_id string, seq long, speaker string, text string, time string, visible boolean, user_text boolean, uses array<string>, results array<string>, digest string"
 SUMMARY = (
-    "session_id string, block long, n_seq long, min_seq long, max_seq long, unreadable boolean, differs boolean, cyclic boolean, visible boolean, "
-    "opener string, first_event string, last_event string, unanswered boolean, open_uses array<string>, open_results array<string>"
+    "session_id string, block long, n_seq long, min_seq long, max_seq long, unreadable boolean, differs boolean, visible boolean, "
+    "opener string, first_event string, last_event string, unanswered boolean, ids array<string>, first_uses array<long>, first_results array<long>"
 )
 
 
@@ -138,7 +139,7 @@ def topological(rows: list[dict]) -> tuple[list[dict], int]:
 
 
 def summarise(session: str, block: int | None, rows: list[dict]) -> tuple:
-    """One row of SUMMARY: what a block of a session shows, and what it leaves open."""
+    """One row of SUMMARY: what a block of a session shows, and where it first names each tool id."""
     unreadable = any(r["speaker"] is None for r in rows)
     good = {(r["seq"], r["digest"]): r for r in reversed(rows) if r["speaker"] is not None}  # repeated rows count once
     kept = sorted(good.values(), key=lambda r: r["seq"])
@@ -148,17 +149,23 @@ def summarise(session: str, block: int | None, rows: list[dict]) -> tuple:
     spoken = [r for r in (order if not left else kept) if r["speaker"] != "system"]
     events = ["assistant" if r["speaker"] == "assistant" else "user" for r in spoken if r["speaker"] == "assistant" or r["user_text"]]
     unanswered = any(a == b == "user" for a, b in itertools.pairwise(events))
-    uses, results = {u for r in kept for u in r["uses"]}, {x for r in kept for x in r["results"]}
+    # kept is in order, so the first of an id stays
+    uses, results = {}, {}
+    for r in kept:
+        for of, named in ((uses, r["uses"]), (results, r["results"])):
+            for x in named:
+                of.setdefault(x, r["seq"])
+    ids = sorted(uses.keys() | results.keys())
     return (
-        session, block, len(seqs), min(seqs, default=None), max(seqs, default=None), unreadable, differs, left > 0, any(r["visible"] for r in kept),
-        spoken[0]["speaker"] if spoken else None, events[0] if events else None, events[-1] if events else None, unanswered, sorted(uses - results), sorted(results - uses),
+        session, block, len(seqs), min(seqs, default=None), max(seqs, default=None), unreadable, differs, any(r["visible"] for r in kept),
+        spoken[0]["speaker"] if spoken else None, events[0] if events else None, events[-1] if events else None, unanswered, ids, [uses.get(x) for x in ids], [results.get(x) for x in ids],
     )
 
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks arrive whole and one after the other; at most one is held."""
     names = [x.split()[0] for x in SUMMARY.split(", ")]
-    kinds = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+    kinds = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string()), "array<long>": pa.list_(pa.int64())}
     types = [kinds[x.split()[1]] for x in SUMMARY.split(", ")]
     rows = (r for batch in batches for r in batch.to_pylist())
     blocks = (summarise(*key, list(g)) for key, g in itertools.groupby(rows, key=lambda r: (r["session_id"], r["block"])))
@@ -176,17 +183,16 @@ def defects(messages: DataFrame, sessions: DataFrame, block: int = BLOCK) -> Dat
     whole = blocks.withColumn("_next", F.first(F.col("first_event"), True).over(nxt.rowsBetween(1, Window.unboundedFollowing)))
     per = whole.groupBy("session_id").agg(
         F.sum("n_seq").alias("n_seq"), (F.max("max_seq") - F.min("min_seq") + 1).alias("span"), F.bool_or("unreadable").alias("unreadable"), F.bool_or("differs").alias("differs"),
-        F.bool_or("cyclic").alias("cyclic"), F.bool_or("visible").alias("visible"), F.min_by("opener", F.when(F.col("opener").isNotNull(), F.col("block"))).alias("opener"),
+        F.bool_or("visible").alias("visible"), F.min_by("opener", F.when(F.col("opener").isNotNull(), F.col("block"))).alias("opener"),
         F.bool_or(F.col("unanswered") | F.coalesce((F.col("last_event") == "user") & (F.col("_next").isNull() | (F.col("_next") == "user")), F.lit(False))).alias("unanswered"),
     )
-    use = blocks.select("session_id", "block", F.explode("open_uses").alias("id"), F.lit(True).alias("is_use"))
-    result = blocks.select("session_id", "block", F.explode("open_results").alias("id"), F.lit(False).alias("is_use"))
-    first_use, first_result = F.min(F.when(F.col("is_use"), F.col("block"))), F.min(F.when(~F.col("is_use"), F.col("block")))
-    last_result = F.max(F.when(~F.col("is_use"), F.col("block")))
-    ids = use.unionByName(result).groupBy("session_id", "id").agg((first_result.isNotNull() & F.coalesce(first_use > first_result, F.lit(True))).alias("early"), (first_use.isNotNull() & last_result.isNull()).alias("lost"))
+    # the first use and the first result of a tool id in the whole session, so block borders decide nothing
+    tool = blocks.select("session_id", F.explode(F.arrays_zip("ids", "first_uses", "first_results")).alias("x")).select("session_id", "x.*")
+    ids = tool.groupBy("session_id", F.col("ids").alias("id")).agg(F.min("first_uses").alias("use"), F.min("first_results").alias("result"))
+    ids = ids.select("session_id", (F.col("result").isNotNull() & (F.col("use").isNull() | (F.col("result") <= F.col("use")))).alias("early"), (F.col("use").isNotNull() & F.col("result").isNull()).alias("lost"))
     open_ids = ids.groupBy("session_id").agg(F.bool_or("early").alias("early"), F.bool_or("lost").alias("lost"))
     yes = lambda name: F.coalesce(F.col(name), F.lit(False))
-    broken = yes("unreadable") | (F.col("n_seq") < F.col("span")) | yes("differs") | yes("cyclic") | yes("early") | (F.coalesce("opener", F.lit("user")) != "user")
+    broken = yes("unreadable") | (F.col("n_seq") < F.col("span")) | yes("differs") | yes("early") | (F.coalesce("opener", F.lit("user")) != "user")
     reason = (
         F.when(F.col("n_seq").isNull() | (~yes("unreadable") & ~yes("visible")), "empty").when(broken, "broken").when(yes("unanswered") | yes("lost"), "missing_reply")
     )

@@ -1,0 +1,43 @@
+"""p5_found: the verdict on a session does not depend on the size of a block."""
+
+import json
+
+import pytest
+from pyspark.sql import SparkSession
+
+from loomlog.llm import conversations
+
+
+@pytest.fixture(scope="module")
+def spark():
+    return SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", 4).config("spark.ui.enabled", "false").getOrCreate()
+
+
+def text(x):
+    return {"type": "text", "text": x}
+
+
+def use(x):
+    return {"type": "tool_use", "id": x}
+
+
+def result(x):
+    return {"type": "tool_result", "tool_use_id": x}
+
+
+SESSIONS = {
+    "second_result": (None, [("user", text("hi")), ("assistant", use("t")), ("user", result("t")), ("assistant", text("a")), ("user", result("t")), ("assistant", text("b"))]),
+    "second_use": (None, [("user", text("hi")), ("assistant", use("t")), ("user", result("t")), ("assistant", text("a")), ("assistant", use("t")), ("assistant", text("b"))]),
+    "use_after_answer": (None, [("user", text("hi")), ("assistant", use("t")), ("user", result("t")), ("assistant", text("a")), ("user", result("t")), ("assistant", use("t"))]),
+    "early": ("broken", [("user", text("hi")), ("user", result("t")), ("assistant", use("t")), ("user", result("t")), ("assistant", text("a"))]),
+    "unknown": ("broken", [("user", text("hi")), ("user", result("t")), ("assistant", text("a"))]),
+    "lost": ("missing_reply", [("user", text("hi")), ("assistant", use("t")), ("assistant", text("a"))]),
+}
+
+
+@pytest.mark.parametrize("block", [1, 2, 3, 4096])
+def test_verdict_at_any_block_size(spark, block):
+    rows = [(s, k, who, json.dumps({"content": [x]}), str(k)) for s, (_, messages) in SESSIONS.items() for k, (who, x) in enumerate(messages)]
+    df = spark.createDataFrame(rows, "session_id string, seq long, type string, data string, time_created string")
+    got = {r.session_id: r.reason for r in conversations.defects(df, df.select("session_id").limit(0), block).collect()}
+    assert got == {s: reason for s, (reason, _) in SESSIONS.items()}
