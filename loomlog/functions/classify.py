@@ -48,6 +48,16 @@ def family(model: Column) -> Column:
     return out.otherwise("other")
 
 
+def census_family(model: Column, names: list[str], otherwise: str) -> Column:
+    """The family by the rules of the given names only, each by its first substring."""
+    m = F.lower(F.coalesce(model, F.lit("")))
+    out = F
+    for parts, _, name in rules.FAMILIES:
+        if name in names:
+            out = out.when(m.contains(parts[0]), name)
+    return out.otherwise(otherwise)
+
+
 def vendor(fam: Column) -> Column:
     out = F
     for start, name in rules.VENDORS:
@@ -137,15 +147,29 @@ def purposes(cmd: Column, interp: Column) -> Column:
     return F.when(F.size(interp) > 0, all_matches(cmd, rules.PURPOSES)).otherwise(F.array().cast("array<string>"))
 
 
-def iso(ts: Column) -> Column:
-    """Epoch milliseconds as an ISO text in UTC; any other text as it is."""
-    return F.when(ts.rlike(r"^\d{13}$"), F.date_format(F.timestamp_millis(ts.try_cast("long")), "yyyy-MM-dd'T'HH:mm:ss.SSS")).otherwise(ts)
+#: an ISO date and clock time in its long and its compact form
+ISO = r"^(\d{4})-?(\d{2})-?(\d{2})[T ](\d{2}):?(\d{2})(?::?(\d{2})(?:[.,](\d{1,9}))?)?(Z|[+-]\d{2}:?\d{2})?$"
+
+
+def epoch_ms(ts: Column) -> Column:
+    """Milliseconds since 1970 UTC of epoch milliseconds or ISO text, which counts as UTC where it has no offset; else null.
+
+    Nothing depends on the session's zone. For all other formats use operators.instants.
+    """
+    part = lambda k: F.regexp_extract(ts, ISO, k)
+    second = F.when(part(6) == "", "00").otherwise(part(6))
+    stamp = F.concat_ws("", part(1), F.lit("-"), part(2), F.lit("-"), part(3), F.lit(" "), part(4), F.lit(":"), part(5), F.lit(":"), second, F.lit("."), F.rpad(F.left(part(7), F.lit(3)), 3, "0"), F.lit("+00:00"))
+    digits = F.regexp_replace(part(8), "[:Z]", "")
+    minutes = F.when(digits == "", 0).otherwise(F.when(digits.startswith("-"), -1).otherwise(1) * (F.substring(digits, 2, 2).try_cast("int") * 60 + F.substring(digits, 4, 2).try_cast("int")))
+    return F.when(ts.rlike(r"^\d{13}$"), ts.try_cast("long")).when(ts.rlike(ISO), F.unix_millis(stamp.try_cast("timestamp")) - minutes * 60000).cast("long")
 
 
-def sort_ms(ts: Column) -> Column:
-    """Milliseconds by which records are ordered: epoch milliseconds or ISO with Z; anything else comes first."""
-    stamped = F.when(ts.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,9})?Z$"), F.unix_millis(ts.try_cast("timestamp")))
-    return F.coalesce(F.when(ts.rlike(r"^\d{13}$"), ts.try_cast("long")), stamped, F.lit(0)).cast("long")
+def iso(ms: Column) -> Column:
+    """Milliseconds since 1970 as ISO text in UTC, by integers only."""
+    day, rest = F.floor(ms / 86_400_000), F.pmod(ms, F.lit(86_400_000))
+    two = lambda c, n=2: F.lpad(c.cast("int").cast("string"), n, "0")
+    clock = F.concat(two(F.floor(rest / 3_600_000)), F.lit(":"), two(F.floor(rest / 60_000) % 60), F.lit(":"), two(F.floor(rest / 1000) % 60), F.lit("."), two(rest % 1000, 3), F.lit("Z"))
+    return F.concat(F.date_from_unix_date(day.cast("int")).cast("string"), F.lit("T"), clock)
 
 
 #: name of each annotation, what it needs, how it is made
@@ -156,9 +180,10 @@ _STEPS = {
     "cats": lambda p: F.array_sort(F.array_distinct("segments")), "cat": lambda p: primary_category(F.col("cmd"), F.col("segments")), "cx": lambda p: complexity(F.col("cmd")),
     "cause": lambda p: failure_cause(F.col("ok"), output_text(F.col("out"), F.col("err"))), "cause_detail": lambda p: cause_detail(F.col("cause"), output_text(F.col("out"), F.col("err"))),
     "hidden": lambda p: hidden_failure(F.col("ok"), F.col("out")), "mismatch": lambda p: mismatch(F.col("dialect"), F.col("host")),
-    "purpose": lambda p: purposes(F.col("cmd"), F.col("interp")), "iso": lambda p: iso(F.col("ts")), "day": lambda p: F.left(F.col("iso"), F.lit(10)),
+    "purpose": lambda p: purposes(F.col("cmd"), F.col("interp")), "epoch_ms": lambda p: epoch_ms(F.col("ts")), "sort_ms": lambda p: F.coalesce(F.col("epoch_ms"), F.lit(0)),
+    "iso": lambda p: iso(F.col("epoch_ms")), "day": lambda p: F.left(F.col("iso"), F.lit(10)),
 }
-_NEEDS = {"vendor": ["family"], "interp0": ["interp"], "cats": ["segments"], "cat": ["segments"], "cause_detail": ["cause"], "mismatch": ["dialect", "host"], "purpose": ["interp"], "day": ["iso"]}
+_NEEDS = {"vendor": ["family"], "interp0": ["interp"], "cats": ["segments"], "cat": ["segments"], "cause_detail": ["cause"], "mismatch": ["dialect", "host"], "purpose": ["interp"], "day": ["iso"], "iso": ["epoch_ms"], "sort_ms": ["epoch_ms"]}
 
 
 def annotate(records: DataFrame, *names: str, platform: str = "windows", user_shell: str = "bash") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomlog.operators import drift, instants, nested
+from loomlog.queries.registry import query
 from loomlog.util import clean_key, table
 
 
@@ -23,20 +24,19 @@ def _instants(spark: SparkSession, d: str, where: Column) -> DataFrame:
     return instants.normalise(rows[0].unionByName(rows[1]).unionByName(rows[2]).where(where), "value", clean_key(F.col("session")), zones)
 
 
+@query()
 def p2_instants(spark: SparkSession, d: str) -> DataFrame:
     """Every timestamp of the three tables with its instant, null where it denotes none."""
     return _instants(spark, d, F.lit(True)).select("tbl", "row_key", "value", "epoch_ms")
 
 
+@query()
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """The instants of all values that are not yet in the one canonical form."""
     canonical = F.col("value").rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}Z$") & ~F.col("value").contains("\n")
     return _instants(spark, d, ~canonical).where(F.col("epoch_ms").isNotNull()).select("tbl", "row_key", "epoch_ms").distinct()
 
 
-QUERIES = {"p2_found": p2_found, "p2_instants": p2_instants}
-
-
 def _json_fields(spark: SparkSession, d: str) -> DataFrame:
     """Every JSON field of the two nested tables once; repeated rows are dropped before they are read."""
     lines, parts = table(spark, d, "transcript_lines"), table(spark, d, "oc_part")
@@ -46,28 +46,27 @@ def _json_fields(spark: SparkSession, d: str) -> DataFrame:
     return picked[0].unionByName(picked[1]).unionByName(picked[2]).where("value is not null").distinct()
 
 
+@query()
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Every element stored under a key `content`, with its parent path and position."""
     blocks = nested.flatten(_json_fields(spark, d), only="block")
     return blocks.select("tbl", "row_key", "field", "parent_path", "pos", "block_type").distinct()
 
 
+@query()
 def p7_tables(spark: SparkSession, d: str) -> DataFrame:
     """All nodes of the nested fields as tagged rows with links to their parents."""
     return nested.flatten(_json_fields(spark, d))
 
 
-QUERIES |= {"p7_found": p7_found, "p7_tables": p7_tables}
-
-
+@query()
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Every change of the fields from one file of a store to the next."""
     return drift.changes(table(spark, d, "raw_logs")).select("store", "file_no", "field", "change")
 
 
+@query()
 def p1_table(spark: SparkSession, d: str) -> DataFrame:
     """All lines of raw_logs in one consistent table, with the values that did not fit."""
     return drift.consistent(table(spark, d, "raw_logs"))
 
-
-QUERIES |= {"p1_found": p1_found, "p1_table": p1_table}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from loomlog.functions import rules
+from loomlog.functions.classify import ISO
 
 
 def q(s: str) -> str:
@@ -60,12 +61,16 @@ EXPRESSIONS = {
     "hidden": f"coalesce(ok AND {hit('out', rules.HIDDEN)}, false)",
     "mismatch": "(dialect = 'posix' AND host IN ('powershell', 'powershell5', 'cmd.exe', 'pwsh7')) OR (dialect IN ('powershell', 'cmd') AND host IN ('git-bash', 'bash', 'zsh', 'sh'))",
     "purpose": f"CASE WHEN len(interp) > 0 THEN {every('cmd', rules.PURPOSES)} ELSE [] END",
-    "day": r"left(CASE WHEN regexp_matches(ts, '^\d{13}$') THEN strftime(epoch_ms(CAST(ts AS BIGINT)), '%Y-%m-%dT') ELSE ts END, 10)",
-    "sort_ms": r"CASE WHEN regexp_matches(ts, '^\d{13}$') THEN CAST(ts AS BIGINT) ELSE coalesce(epoch_ms(TRY_CAST(CASE WHEN regexp_matches(ts, '^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,9})?Z$') THEN replace(left(ts, 23), 'Z', '') END AS TIMESTAMP)), 0) END",
+    "epoch_ms": r"CASE WHEN regexp_matches(ts, '^\d{13}$') THEN CAST(ts AS BIGINT) WHEN regexp_matches(ts, '" + ISO + r"') THEN epoch_ms(TRY_CAST(regexp_extract(ts, '" + ISO + r"', 1) || '-' || regexp_extract(ts, '" + ISO + r"', 2) || '-' || regexp_extract(ts, '" + ISO + r"', 3) || ' ' "
+    r"|| regexp_extract(ts, '" + ISO + r"', 4) || ':' || regexp_extract(ts, '" + ISO + r"', 5) || ':' || coalesce(nullif(regexp_extract(ts, '" + ISO + r"', 6), ''), '00') || '.' || rpad(left(regexp_extract(ts, '" + ISO + r"', 7), 3), 3, '0') AS TIMESTAMP)) "
+    r"- 60000 * (CASE WHEN regexp_extract(ts, '" + ISO + r"', 8) IN ('', 'Z') THEN 0 ELSE CAST(left(regexp_extract(ts, '" + ISO + r"', 8), 1) || '1' AS INT) * (60 * CAST(substr(regexp_extract(ts, '" + ISO + r"', 8), 2, 2) AS INT) + CAST(right(regexp_extract(ts, '" + ISO + r"', 8), 2) AS INT)) END) END",
+    "sort_ms": "coalesce(epoch_ms, 0)",
+    "iso": "strftime(epoch_ms(epoch_ms), '%Y-%m-%dT%H:%M:%S.%gZ')",
+    "day": "left(iso, 10)",
 }
 _NEEDS = {
     "vendor": ["family"], "interp0": ["interp"], "cats": ["segments"], "cat": ["segments"], "bucket": ["cx_len", "cx_segs", "cx_lines"], "term_name": ["term"],
-    "cause_detail": ["cause", "term_name"], "mismatch": ["dialect", "host"], "purpose": ["interp"],
+    "cause_detail": ["cause", "term_name"], "mismatch": ["dialect", "host"], "purpose": ["interp"], "sort_ms": ["epoch_ms"], "iso": ["epoch_ms"], "day": ["iso"],
 }
 
 
