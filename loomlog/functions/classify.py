@@ -148,7 +148,7 @@ def purposes(cmd: Column, interp: Column) -> Column:
 
 
 #: an ISO date and clock time in its long and its compact form
-ISO = r"^(\d{4})-?(\d{2})-?(\d{2})[T ](\d{2}):?(\d{2})(?::?(\d{2})(?:[.,](\d{1,9}))?)?(Z|[+-]\d{2}:?\d{2})?$"
+ISO = r"^\s*(\d{4})-?(\d{2})-?(\d{2})[T ](\d{2}):?(\d{2})(?::?(\d{2})(?:[.,](\d{1,9}))?)?(Z|[+-]\d{2}:?\d{2})?\s*$"
 
 
 def epoch_ms(ts: Column) -> Column:
@@ -161,7 +161,7 @@ def epoch_ms(ts: Column) -> Column:
     stamp = F.concat_ws("", part(1), F.lit("-"), part(2), F.lit("-"), part(3), F.lit(" "), part(4), F.lit(":"), part(5), F.lit(":"), second, F.lit("."), F.rpad(F.left(part(7), F.lit(3)), 3, "0"), F.lit("+00:00"))
     digits = F.regexp_replace(part(8), "[:Z]", "")
     minutes = F.when(digits == "", 0).otherwise(F.when(digits.startswith("-"), -1).otherwise(1) * (F.substring(digits, 2, 2).try_cast("int") * 60 + F.substring(digits, 4, 2).try_cast("int")))
-    return F.when(ts.rlike(r"^\d{13}$"), ts.try_cast("long")).when(ts.rlike(ISO), F.unix_millis(stamp.try_cast("timestamp")) - minutes * 60000).cast("long")
+    return F.when(ts.rlike(r"^\s*\d{13}\s*$"), F.regexp_extract(ts, r"\d{13}", 0).try_cast("long")).when(ts.rlike(ISO), F.unix_millis(stamp.try_cast("timestamp")) - minutes * 60000).cast("long")
 
 
 def iso(ms: Column) -> Column:

@@ -61,7 +61,7 @@ EXPRESSIONS = {
     "hidden": f"coalesce(ok AND {hit('out', rules.HIDDEN)}, false)",
     "mismatch": "(dialect = 'posix' AND host IN ('powershell', 'powershell5', 'cmd.exe', 'pwsh7')) OR (dialect IN ('powershell', 'cmd') AND host IN ('git-bash', 'bash', 'zsh', 'sh'))",
     "purpose": f"CASE WHEN len(interp) > 0 THEN {every('cmd', rules.PURPOSES)} ELSE [] END",
-    "epoch_ms": r"CASE WHEN regexp_matches(ts, '^\d{13}$') THEN CAST(ts AS BIGINT) WHEN regexp_matches(ts, '" + ISO + r"') THEN epoch_ms(TRY_CAST(regexp_extract(ts, '" + ISO + r"', 1) || '-' || regexp_extract(ts, '" + ISO + r"', 2) || '-' || regexp_extract(ts, '" + ISO + r"', 3) || ' ' "
+    "epoch_ms": r"CASE WHEN regexp_matches(ts, '^\s*\d{13}\s*$') THEN CAST(regexp_extract(ts, '\d{13}') AS BIGINT) WHEN regexp_matches(ts, '" + ISO + r"') THEN epoch_ms(TRY_CAST(regexp_extract(ts, '" + ISO + r"', 1) || '-' || regexp_extract(ts, '" + ISO + r"', 2) || '-' || regexp_extract(ts, '" + ISO + r"', 3) || ' ' "
     r"|| regexp_extract(ts, '" + ISO + r"', 4) || ':' || regexp_extract(ts, '" + ISO + r"', 5) || ':' || coalesce(nullif(regexp_extract(ts, '" + ISO + r"', 6), ''), '00') || '.' || rpad(left(regexp_extract(ts, '" + ISO + r"', 7), 3), 3, '0') AS TIMESTAMP)) "
     r"- 60000 * (CASE WHEN regexp_extract(ts, '" + ISO + r"', 8) IN ('', 'Z') THEN 0 ELSE CAST(left(regexp_extract(ts, '" + ISO + r"', 8), 1) || '1' AS INT) * (60 * CAST(substr(regexp_extract(ts, '" + ISO + r"', 8), 2, 2) AS INT) + CAST(right(regexp_extract(ts, '" + ISO + r"', 8), 2) AS INT)) END) END",
     "sort_ms": "coalesce(epoch_ms, 0)",
