@@ -10,6 +10,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def parse_strict(c: Column) -> Column:
+    """The variant of a text that is one JSON value and nothing else; null otherwise.
+
+    The engine's own parser stops after the first value, so a text whose beginning was cut would pass; inside brackets
+    whatever follows is an error or a second element.
+    """
+    whole = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
+    return F.when(F.try_variant_get(whole, "$[1]", "variant").isNull(), F.try_variant_get(whole, "$[0]", "variant"))
+
+
 def json_string(c: Column) -> Column:
     """A text as a JSON string, quotes included; only quotes, backslashes and control characters are escaped."""
     out = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))

@@ -1 +1 @@
-
+"""Plans: bounded operations on texts."""

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomlog.functions.values import command_member, member, text_content
+from loomlog.functions.values import command_member, member, parse_strict, text_content
 
 CALLS = ("source", "file", "line", "part", "call_id", "tool", "model", "ts", "cwd", "command", "input")
 RESULTS = ("file", "line", "part", "call_id", "output", "exit_code", "failed", "interrupted")
@@ -24,12 +24,12 @@ RESULTS = ("file", "line", "part", "call_id", "output", "exit_code", "failed", "
 
 def parsed(lines: DataFrame, value: str = "value") -> DataFrame:
     """lines with `v`, the JSON object of each; other lines are dropped (count them with `dispositions`)."""
-    return lines.withColumn("v", F.try_parse_json(value)).where(F.schema_of_variant("v").startswith("OBJECT"))
+    return lines.withColumn("v", parse_strict(F.col(value))).where(F.schema_of_variant("v").startswith("OBJECT"))
 
 
 def dispositions(lines: DataFrame, value: str = "value", keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, disposition, n): each line is exactly one of blank, malformed, non_object and object."""
-    v = F.try_parse_json(value)
+    v = parse_strict(F.col(value))
     kind = F.when(F.coalesce(F.col(value), F.lit("")).rlike(r"\S"), F.when(v.isNull(), "malformed").when(F.schema_of_variant(v).startswith("OBJECT"), "object").otherwise("non_object")).otherwise("blank")
     return lines.groupBy(*keys, kind.alias("disposition")).agg(F.count("*").alias("n"))
 
