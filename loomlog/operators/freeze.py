@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomlog.functions.values import digest, read_contract, session_key, shell_text, task_key
-from loomlog.operators.graph import connected_components
+from loomlog.operators.graph import propagate_labels
 from loomlog.operators.sessions import first_per_key
 from loomlog.util import cut
 
@@ -50,11 +50,11 @@ def observations(commands: DataFrame) -> DataFrame:
 
 def groups(rows: DataFrame) -> DataFrame:
     """(session_group, partition_group): sessions tied by parents or by a shared task; the smallest of a component names it."""
-    parent = rows.select(F.col("session_group").alias("a"), F.explode("_parents").alias("p"), "source_kind").select("a", session_key(F.col("p"), F.col("source_kind")).alias("b"))
-    shared = rows.where("task_key is not null").select("task_key", "session_group").distinct()
-    owner = shared.groupBy("task_key").agg(F.min("session_group").alias("b"))
-    edges = parent.unionByName(shared.join(owner, "task_key").select(F.col("session_group").alias("a"), "b"))
-    roots = connected_components(edges)
+    parent = rows.select("session_group", F.explode("_parents").alias("p"), "source_kind").select("session_group", session_key(F.col("p"), F.col("source_kind")).alias("b"))
+    name = lambda kind, c: F.concat(F.lit(kind), c).alias("entity")
+    links = rows.select(F.col("session_group").alias("node"), name("task:", F.col("task_key")))
+    links = links.unionByName(parent.select(F.col("session_group").alias("node"), name("parent:", F.col("b")))).unionByName(parent.select(F.col("b").alias("node"), name("parent:", F.col("b"))))
+    roots = propagate_labels(links)
     return rows.select("session_group").distinct().join(roots, F.col("session_group") == F.col("node"), "left").select("session_group", F.coalesce("root", "session_group").alias("partition_group"))
 
 

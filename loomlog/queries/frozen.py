@@ -10,7 +10,7 @@ from loomlog.operators.metrics import ratio
 from loomlog.queries.calls import json_string_sql
 from loomlog.queries.oracle import q
 from loomlog.queries.registry import query
-from loomlog.util import table
+from loomlog.util import cut, table
 
 _TEXT = """CASE WHEN command_text IS NOT NULL THEN command_text WHEN len(command_argv) > 2 AND lower(split_part(replace(command_argv[1], '\\', '/'), '/', -1)) IN ('powershell', 'powershell.exe', 'pwsh', 'pwsh.exe') AND lower(command_argv[-2]) IN ('-command', '-c') THEN command_argv[-1] END"""
 
@@ -127,7 +127,7 @@ _OBSERVED = f"o AS (SELECT DISTINCT {_SESSION} AS session_group, CASE WHEN NOT c
 @query(f"WITH RECURSIVE {_OBSERVED}, e AS (SELECT DISTINCT a.session_group AS a, b.session_group AS b FROM o a JOIN o b ON a.task_key = b.task_key), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT o.session_group, coalesce(least(min(r.b), o.session_group), o.session_group) AS partition_group FROM (SELECT DISTINCT session_group FROM o) o LEFT JOIN r ON r.a = o.session_group GROUP BY o.session_group")
 def grf_01_components(spark, d):
     """Sessions tied by parents or by the same request, with the smallest of their component."""
-    return freeze.groups(freeze.observations(table(spark, d, "commands_normalized")))
+    return freeze.groups(cut(freeze.observations(table(spark, d, "commands_normalized")).select("session_group", "task_key", "_parents", "source_kind")))
 
 
 @query()

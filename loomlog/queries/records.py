@@ -12,7 +12,7 @@ from loomlog.functions import classify, rules
 from loomlog.operators import cells, metrics, sessions
 from loomlog.queries.oracle import annotated, q
 from loomlog.queries.registry import query
-from loomlog.util import table
+from loomlog.util import spread, table
 
 COUNTS = "count(*) AS n, count(*) FILTER (WHERE ok = false) AS fail, count(*) FILTER (WHERE hidden) AS hidden"
 RATES = "CAST(fail AS DOUBLE) / CAST(nullif(n, 0) AS DOUBLE) AS fail_rate, CAST(hidden AS DOUBLE) / CAST(nullif(n, 0) AS DOUBLE) AS hidden_rate"
@@ -22,7 +22,9 @@ NEEDED = ["source", "model", "session", "ts", "tool", "shell_param", "cmd", "ok"
 
 def notes(spark: SparkSession, d: str, *names: str, more: tuple = ()) -> DataFrame:
     """The records with the named annotations."""
-    return classify.annotate(table(spark, d, "records").select(*NEEDED, *more), *names)
+    rows = table(spark, d, "records").select(*NEEDED, *more)
+    # regular expressions are the work here, so a small scan is dealt to all cores; a large one stays as it is
+    return classify.annotate(spread(rows, 1) if names else rows, *names)
 
 
 def rate_sql(*keys: str, needs: tuple = (), where: str = "true", having: int = 0) -> str:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,11 +16,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder that the cluster names in spark.checkpoint.dir; a local one only where none is named."""
+    """Use the folder that the cluster names in spark.checkpoint.dir.
+
+    Where none is named, a local session has a temporary folder of its own; on a cluster that would be a folder of one
+    machine, so there this raises.
+    """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = sc.getConf().get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "loomlog-checkpoints"))
 
 
