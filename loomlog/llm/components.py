@@ -1,10 +1,9 @@
 """Splits that keep related records together (problem 4).
 
-Records and the entities they name form a bipartite graph. Connected
-components come from large-star and small-star steps over its entities, in
-place of minimum-label propagation over all of its edges; components are then
-assigned to splits so that both the row shares and the label mix stay close to
-the targets.
+Records and the entities they name form a bipartite graph, whose components
+come from iterated propagation of minimum labels (operators.graph). Components
+are then assigned to splits so that both the row shares and the label mix stay
+close to the targets.
 
 Cases and their results:
 - an entity that is null or unreadable ties nothing; a record without any
@@ -13,8 +12,8 @@ Cases and their results:
 - no rows: no groups;
 - shares are taken in proportion to their sum; a split without a share above
   zero gets no rows;
-- one entity with a third of all rows is one label: labels are pre-aggregated
-  before each shuffle, so no task sees its rows.
+- one entity with a third of all rows is split into slots wherever its links are
+  joined, and labels are aggregated before each shuffle, so no task sees its rows.
 """
 
 from __future__ import annotations
@@ -24,57 +23,14 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomlog.operators.graph import propagate_labels
 from loomlog.util import cut
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root): of every node of the undirected edges (a, b) the smallest node it is tied to.
-
-    Alternating large-star and small-star steps: in each, a node's neighbours
-    are tied to the smallest of them. The edge set shrinks to stars in a
-    logarithmic number of rounds, and a node's neighbours are only ever
-    aggregated by min, never gathered.
-    """
-    e = cut(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
-    nodes = e.select(F.col("hi").alias("node"))
-
-    def star(e: DataFrame, large: bool) -> DataFrame:
-        both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v"))
-        if large:
-            both = both.unionByName(e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        tied = both.join(low, "u")
-        if large:
-            tied = tied.where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
-        else:
-            tied = tied.select(F.col("v").alias("hi"), F.col("m").alias("lo")).unionByName(low.select(F.col("u").alias("hi"), F.col("m").alias("lo")))
-        return tied.where("hi <> lo").distinct()
-
-    def state(e: DataFrame) -> tuple:
-        row = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")).alias("h")).first()
-        return row["n"], row["h"]
-
-    before = state(e)
-    for _ in range(max_rounds):
-        e = cut(star(star(e, True), False))
-        now = state(e)
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    # a settled edge set holds one edge from every node to the smallest of its component
-    return e.select(F.col("hi").alias("node"), F.col("lo").alias("root")).distinct()
-
-
 def tie(rows: DataFrame, group: Column, entity: Column) -> DataFrame:
-    """(grp, root) of every group; groups are tied by sharing an entity. Entities never become roots."""
+    """(grp, root) of every group; groups are tied by sharing an entity, directly or through others. Entities never become roots."""
     pairs = rows.select(group.alias("grp"), entity.alias("entity")).where("grp is not null").distinct()
-    # a star per entity: its smallest group stands for it, so the graph has groups only
-    shared = pairs.where("entity is not null")
-    least = shared.groupBy("entity").agg(F.min("grp").alias("b"))
-    edges = shared.join(least, "entity").select(F.col("grp").alias("a"), "b")
-    roots = connected_components(edges)
+    roots = propagate_labels(pairs.select(F.col("grp").alias("node"), "entity"))
     return pairs.select("grp").distinct().join(roots, F.col("grp") == F.col("node"), "left").select("grp", F.coalesce("root", "grp").alias("root"))
 
 
@@ -90,9 +46,12 @@ def rooted(rows: DataFrame, row: Column, group: Column, entity: Column, label: C
     Copies of a row tie what they name. A row without group and entity is a component of its own.
     """
     named = rows.select(row.alias("id"), label.alias("label"), F.array_compact(F.array(F.concat(F.lit("g:"), group), F.concat(F.lit("e:"), entity))).alias("names"))
-    named = cut(named.groupBy("id").agg(F.min("label").alias("label"), F.array_distinct(F.flatten(F.collect_set("names"))).alias("names")).withColumn("least", F.array_min("names")))
-    roots = connected_components(named.select(F.explode("names").alias("a"), F.col("least").alias("b")))
-    return named.join(roots, F.col("least") == F.col("node"), "left").select("id", "label", F.coalesce("root", "least", F.concat(F.lit("r:"), "id"), F.lit("r")).alias("root"))
+    named = cut(named.groupBy("id").agg(F.min("label").alias("label"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("names")))).alias("names")))
+    # the graph of records and names, with records that name the same taken as one node
+    nodes = named.select(F.array_join("names", "\x01").alias("node"), "names").where("node <> ''").distinct()
+    roots = propagate_labels(nodes.select("node", F.explode("names").alias("entity"))).withColumnRenamed("node", "_node")
+    own = F.array_join("names", "\x01")
+    return named.withColumn("_own", own).join(roots, F.col("_own") == F.col("_node"), "left").select("id", "label", F.coalesce("root", F.concat(F.lit("r:"), "id"), F.lit("r")).alias("root"))
 
 
 def share_out(units: dict, shares: dict[str, float]) -> dict:
