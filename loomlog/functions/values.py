@@ -21,13 +21,13 @@ def parse_strict(c: Column) -> Column:
 
 
 def json_string(c: Column) -> Column:
-    """A text as a JSON string, quotes included; only quotes, backslashes and control characters are escaped."""
-    out = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    short = {8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r"}
-    plain = out
-    for k in range(32):
-        plain = F.replace(plain, F.lit(chr(k)), F.lit(short.get(k, f"\\u{k:04x}")))
-    return F.concat(F.lit('"'), F.when(out.rlike(r"[\x00-\x1f]"), plain).otherwise(out), F.lit('"'))
+    """A text as a JSON string, quotes included; only quotes, backslashes and control characters are escaped, these with small hexadecimal digits."""
+    plain = F.regexp_replace(F.to_json(F.array(c)), r"\A\[|\]\z", "")
+    short = {8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r", 34: '\\"', 92: "\\\\"}
+    escapes = F.create_map(*[F.lit(x) for k in [*range(32), 34, 92] for x in (chr(k), short.get(k, f"\\u{k:04x}"))])
+    # the engine writes capital digits, so texts with such characters, which are rare, are escaped one by one
+    single = F.array_join(F.transform(F.split(c, "", -1), lambda x: F.coalesce(F.try_element_at(escapes, x), x)), "")
+    return F.when(c.rlike(r"[\x0b\x0e\x0f\x1a-\x1f]"), F.concat(F.lit('"'), single, F.lit('"'))).when(c.isNotNull(), plain)
 
 
 def digest(*parts: Column) -> Column:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomlog.functions.values import digest, read_contract, session_key, shell_text, task_key
+from loomlog.functions.values import digest, read_contract, request_text, session_key, shell_text
 from loomlog.operators.graph import propagate_labels
 from loomlog.operators.sessions import first_per_key
 from loomlog.util import cut
@@ -38,9 +38,9 @@ def review_action(reasons: Column) -> Column:
 def observations(commands: DataFrame) -> DataFrame:
     """One row per observation (record, command and output) with its keys, tags and read contract, and without any text of the source."""
     text = shell_text(F.col("command_text"), F.col("command_argv"))
-    rows = commands.withColumns({"id": digest(F.col("record_id"), F.col("command_sha256"), F.col("output_sha256")), "_text": text})
+    rows = commands.withColumns({"id": digest(F.col("record_id"), F.col("command_sha256"), F.col("output_sha256")), "_text": text, "_request": request_text(F.when(~F.coalesce("context_truncated", F.lit(False)), F.col("request_context")))})
     rows = rows.select(
-        "id", "record_id", "source_kind", session_key(F.col("session"), F.col("source_kind")).alias("session_group"), F.when(~F.coalesce("context_truncated", F.lit(False)), task_key(F.col("request_context"))).alias("task_key"),
+        "id", "record_id", "source_kind", session_key(F.col("session"), F.col("source_kind")).alias("session_group"), digest(F.col("_request")).alias("task_key"),
         F.coalesce("parent_sessions", F.array().cast("array<string>")).alias("_parents"), F.col("call_pointer.snapshot").alias("artifact"), "command_sha256", "output_sha256", "labels", "exit_code_origin",
         review_reasons(F.col("context_association"), F.col("context_truncated"), F.lit(False), F.col("call_id_conflict"), F.col("result_present"), F.col("source_kind")).alias("review_reasons"),
         read_contract(F.col("_text")).alias("read_contract_candidate"), F.lit(False).alias("training_eligible"), F.lit("abstain").alias("correctness"), F.col("call_pointer.line").alias("_line"),
