@@ -1,9 +1,12 @@
 """Deeply nested records as related flat tables (problem 7).
 
 One depth-first visit of each JSON field emits tagged rows: the tag names the
-table a row belongs to, path is its key within the field, parent_path the key
-of the node above it, and payload holds its own scalar members. Arrow batches
-go through the visitor; no row waits for another, so nothing is shuffled.
+table a row belongs to, path is its key within the field, parent the key of the
+node above it, which is always a row of its own, and payload holds its own
+scalar members. In a key, dots, brackets and backslashes of member names are
+escaped by a backslash, so no two nodes have one key. parent_path is the plain
+path of the member that holds the node, as people write it. Arrow batches go
+through the visitor; no row waits for another, so nothing is shuffled.
 
 Tags:
 - record: the root of a readable field;
@@ -17,6 +20,8 @@ Cases and their results:
   string and any object is one block at position 0; numbers and booleans are
   scalars of the node above;
 - null elements of an array emit nothing but keep their position;
+- a single value of `content` stands at position 0, and what lies below it at
+  `content[0]`;
 - of repeated keys in one object the last counts;
 - nesting too deep for the JSON reader counts as unreadable.
 """
@@ -24,13 +29,16 @@ Cases and their results:
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SCHEMA = "tbl string, row_key string, field string, tag string, path string, parent_path string, pos int, block_type string, payload string"
+from loomlog.functions.values import parse_strict
+
+SCHEMA = "tbl string, row_key string, field string, tag string, path string, parent string, parent_path string, pos int, block_type string, payload string"
 
 
 def _no_constant(name: str):
@@ -63,34 +71,45 @@ def _block_type(value) -> str:
     return "text" if kind is None else kind if isinstance(kind, str) else json.dumps(kind, ensure_ascii=False)
 
 
+_ESCAPED = re.compile(r"[.\[\]\\]")
+
+
 def visit(root) -> Iterator[tuple]:
-    """(tag, path, parent_path, pos, block_type, payload) of each node, depth first, without recursion."""
-    stack = [("record", "", None, 0, None, root)]
+    """(tag, path, parent, parent_path, pos, block_type, payload) of each node, depth first, without recursion."""
+    stack = [("record", "", None, "", None, 0, None, root)]
     while stack:
-        tag, path, parent, pos, kind, value = stack.pop()
+        tag, path, parent, plain, holder, pos, kind, value = stack.pop()
         below, scalars = [], {}
+
+        def put(what: str, key: str, name: str, i: int | None, block: str | None, v, path=path, below=below) -> None:
+            at = "" if i is None else f"[{i}]"
+            below.append((what, key + at, path, name + at, name, i or 0, block, v))
+
         if isinstance(value, dict):
             for key, v in value.items():
-                at = f"{path}.{key}" if path else key
-                if key == "content":
-                    array = _as_array(v)
-                    if array is not None:
-                        below += [("block", f"{at}[{i}]", at, i, _block_type(x), x) for i, x in enumerate(array) if x is not None]
-                        continue
-                    if isinstance(v, (dict, str)):
-                        below.append(("block", at, at, 0, _block_type(v), v))
-                        continue
-                if isinstance(v, dict):
-                    below.append(("object", at, path, 0, None, v))
+                safe = _ESCAPED.sub(r"\\\g<0>", key)
+                at, name = (f"{path}.{safe}" if path else safe), (f"{plain}.{key}" if plain else key)
+                if key == "content" and (array := _as_array(v)) is not None:
+                    for i, x in enumerate(array):
+                        if x is not None:
+                            put("block", at, name, i, _block_type(x), x)
+                elif key == "content" and isinstance(v, (dict, str)):
+                    put("block", at, name, 0, _block_type(v), v)
+                elif isinstance(v, dict):
+                    put("object", at, name, None, None, v)
                 elif isinstance(v, list):
-                    below += [("item", f"{at}[{i}]", at, i, None, x) for i, x in enumerate(v) if x is not None]
+                    for i, x in enumerate(v):
+                        if x is not None:
+                            put("item", at, name, i, None, x)
                 else:
                     scalars[key] = v
         elif isinstance(value, list):
-            below += [("item", f"{path}[{i}]", path, i, None, x) for i, x in enumerate(value) if x is not None]
+            for i, x in enumerate(value):
+                if x is not None:
+                    put("item", path, plain, i, None, x)
         else:
             scalars["value"] = value
-        yield tag, path, parent, pos, kind, json.dumps(scalars, ensure_ascii=False)
+        yield tag, path, parent, holder, pos, kind, json.dumps(scalars, ensure_ascii=False)
         stack += reversed(below)
 
 
@@ -120,7 +139,7 @@ def flatten(fields: DataFrame, only: str | None = None) -> DataFrame:
 
 def unreadable(fields: DataFrame) -> DataFrame:
     """Per table and field how many values are null or cannot be read."""
-    return fields.groupBy("tbl", "field").agg(F.count(F.when(F.col("value").isNull(), 1)).alias("n_null"), F.count(F.when(F.col("value").isNotNull() & F.try_parse_json("value").isNull(), 1)).alias("n_unreadable"))
+    return fields.groupBy("tbl", "field").agg(F.count(F.when(F.col("value").isNull(), 1)).alias("n_null"), F.count(F.when(F.col("value").isNotNull() & parse_strict(F.col("value")).isNull(), 1)).alias("n_unreadable"))
 
 
 def write_tables(tagged: DataFrame, path: str) -> None:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomlog.operators import drift, instants, nested
 from loomlog.queries.registry import query
-from loomlog.util import clean_key, table
+from loomlog.util import clean_key, spread, table
 
 
 def _instants(spark: SparkSession, d: str, where: Column) -> DataFrame:
@@ -38,12 +38,12 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _json_fields(spark: SparkSession, d: str) -> DataFrame:
-    """Every JSON field of the two nested tables once; repeated rows are dropped before they are read."""
+    """Every JSON field of the two nested tables as a row; repeated rows are dropped after they are read, as the results are far smaller than the texts."""
     lines, parts = table(spark, d, "transcript_lines"), table(spark, d, "oc_part")
-    key = F.col("line_id").cast("string").alias("row_key")
-    picked = [lines.select(F.lit("transcript_lines").alias("tbl"), key, F.lit(f).alias("field"), F.col(f).alias("value")) for f in ("message", "toolUseResult")]
-    picked.append(parts.select(F.lit("oc_part").alias("tbl"), F.col("id").alias("row_key"), F.lit("data").alias("field"), F.col("data").alias("value")))
-    return picked[0].unionByName(picked[1]).unionByName(picked[2]).where("value is not null").distinct()
+    fields = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in ("message", "toolUseResult")])
+    of_lines = spread(lines.select("line_id", "message", "toolUseResult")).select(F.lit("transcript_lines").alias("tbl"), F.col("line_id").cast("string").alias("row_key"), F.inline(fields))
+    of_parts = spread(parts.select("id", "data")).select(F.lit("oc_part").alias("tbl"), F.col("id").alias("row_key"), F.lit("data").alias("field"), F.col("data").alias("value"))
+    return of_lines.unionByName(of_parts).where("value is not null")
 
 
 @query()
@@ -55,8 +55,46 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def p7_tables(spark: SparkSession, d: str) -> DataFrame:
-    """All nodes of the nested fields as tagged rows with links to their parents."""
-    return nested.flatten(_json_fields(spark, d))
+    """All nodes of the nested fields as tagged rows; `parent` is the path of a row of the same field, null for the root."""
+    return nested.flatten(_json_fields(spark, d)).distinct()
+
+
+# The scalar members of the nodes of each tag.
+COLUMNS = {
+    "record": "type string, role string, model string, tool string, callID string, text string, stdout string, stderr string, interrupted boolean, status string, agentId string",
+    "block": "type string, text string, id string, tool_use_id string, name string, title string, is_error boolean, value string",
+    "object": "status string, command string, description string, output string, start bigint, end bigint, exit int, kind string, media string, data string, read bigint",
+    "item": "name string, lines int, value string, oldStart int",
+}
+
+
+def _typed(spark: SparkSession, d: str, tag: str) -> DataFrame:
+    """The flat table of one tag with typed columns and the keys of node and parent."""
+    return nested.typed_table(nested.flatten(_json_fields(spark, d), only=tag).distinct(), tag, COLUMNS[tag])
+
+
+@query()
+def p7_records(spark: SparkSession, d: str) -> DataFrame:
+    """The roots of all readable fields as a flat table."""
+    return _typed(spark, d, "record")
+
+
+@query()
+def p7_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The content blocks as a flat table."""
+    return _typed(spark, d, "block")
+
+
+@query()
+def p7_objects(spark: SparkSession, d: str) -> DataFrame:
+    """The nested objects as a flat table."""
+    return _typed(spark, d, "object")
+
+
+@query()
+def p7_items(spark: SparkSession, d: str) -> DataFrame:
+    """The elements of all other arrays as a flat table."""
+    return _typed(spark, d, "item")
 
 
 @query()
