@@ -41,6 +41,14 @@ def digest_list(c: Column) -> Column:
     return F.sha2(F.concat(F.lit("["), F.array_join(F.transform(c, json_string), ", "), F.lit("]")), 256)
 
 
+def path_of(name: str) -> str | None:
+    """The variant path of a top-level member, its name taken literally; null for a name with both sorts of quotes, which no path can hold."""
+    for quote in "'\"":
+        if quote not in name:
+            return f"$[{quote}{name}{quote}]"
+    return None
+
+
 def member(v: Column, path: str, kind: str = "string") -> Column:
     """The value at a path of a variant if it is of that JSON type; null otherwise, as for an absent path."""
     got = F.try_variant_get(v, path, kind)

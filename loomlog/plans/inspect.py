@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.functions.values import parse_strict
+from loomlog.functions.values import parse_strict, path_of
 
 OPS = ("read_head", "read_tail", "find_literal", "list_files", "json_field")
 # What ends a line of a text.
@@ -76,8 +76,10 @@ def find(text: Column, value: str, n: int) -> Column:
 def json_field(text: Column, key: str) -> Column:
     """A top-level member as compact JSON; its name is taken literally, dots included."""
     v = parse_strict(text)
-    quoted = key.replace("\\", "\\\\").replace("'", "\\'")
-    got = F.to_json(F.try_variant_get(v, f"$['{quoted}']", "variant"))
+    path = path_of(key)
+    if path is None:
+        raise ValueError("a key with both sorts of quotes has no path")
+    got = F.to_json(F.try_variant_get(v, path, "variant"))
     return F.when(F.schema_of_variant(v).startswith("OBJECT"), F.coalesce(got, F.lit("null")))
 
 

@@ -108,3 +108,8 @@ def p1_table(spark: SparkSession, d: str) -> DataFrame:
     """All lines of raw_logs in one consistent table, with the values that did not fit."""
     return drift.consistent(table(spark, d, "raw_logs"))
 
+
+@query()
+def p1_paths(spark: SparkSession, d: str) -> DataFrame:
+    """How many values each path of raw_logs, nested ones included, has of each type in each file."""
+    return drift.paths(table(spark, d, "raw_logs"))
