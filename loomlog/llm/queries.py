@@ -141,7 +141,8 @@ def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """The sentence units of every document."""
     docs = spread(table(spark, d, "documents").select("doc_id", "lang", "text"))
-    return sentences.split(docs, sentences.learn(docs))
+    profiles = sentences.learn_profiles(docs)
+    return sentences.split(docs, sentences.learn(docs, profiles), profiles)
 
 
 # ---- problem 9

@@ -1,6 +1,7 @@
 """Sentence units of documents in many languages and scripts (problem 10).
 
-Per language, one pass counts word types with and without a final period, what
+Languages are told apart by profiles of words learned from the stated ones. Per
+language, one pass counts word types with and without a final period, what
 follows them, and what begins a unit after a certain boundary. From these
 counts, by log-likelihood ratios, come abbreviations, sentence starters and
 collocations of numbers with the next word; nobody lists them. A second pass
@@ -32,19 +33,17 @@ from pyspark.sql import functions as F
 
 from loomlog.util import cut
 
-#: letters up to which a word with a period can be an abbreviation; occurrences from which it is judged
+#: letters from which on a word with a period surely ends a unit in the first pass, and is held to stricter evidence; occurrences from which a word is judged
 LONGEST, LEAST = 8, 3
 #: log-likelihood ratio from which a word is a sentence starter or a collocation
 STARTER_LLR, COLLOCATION_LLR = 30.0, 7.88
-#: rows of statistics that the driver takes at most
-MOST = 200_000
-
-_SCRIPTS = [("th", re.compile("[฀-๿]")), ("ja", re.compile("[぀-ヿ]")), ("zh", re.compile("[一-鿿]")), ("hi", re.compile("[ऀ-ॿ]")), ("ar", re.compile("[؀-ۿ]")), ("ru", re.compile("[Ѐ-ӿ]"))]
-# Frequent words that tell languages in Latin script apart.
-_COMMON = {
-    "en": {"the", "and", "of", "that", "with", "is", "to", "after", "which"}, "de": {"der", "die", "das", "und", "ist", "nicht", "hat", "mit", "ein"},
-    "fr": {"le", "la", "les", "et", "est", "des", "que", "qui", "du"}, "es": {"el", "los", "las", "y", "se", "una", "por", "qué", "del"},
-}
+#: least share of the units or periods of a language that a learned word needs; at most 1/LEAST_SHARE words of a sort can pass
+LEAST_SHARE = 1e-5
+#: least share of a language's documents that a word of its profile occurs in; a document has on average w words, so at most w / PROFILE_SHARE can pass
+PROFILE_SHARE = 0.05
+
+#: scripts without spaces between words, where a profile of words says nothing
+_SCRIPTS = [("th", re.compile("[฀-๿]+")), ("ja", re.compile("[぀-ヿ]+")), ("zh", re.compile("[一-鿿]+"))]
 _FENCE = re.compile(r"[ \t]*(```|~~~)")
 _HEADING = re.compile(r"[ \t]*#{1,6}[ \t]+\S")
 _BULLET = re.compile(r"[ \t]*[-*+•‣▪◦·][ \t]+\S")
@@ -57,29 +56,42 @@ _PAIRS = {"”": "“„", "»": "«", "›": "‹", "」": "「", "』": "『",
 _CONTINUE = ",;:，；：、)]}»”–—-=/"
 #: a letter, or a mark that Python does not count among the letters
 _L = "(?:[^\\W\\d_]|[\u0300-\u036f\u064b-\u065f\u0900-\u0963\u0970-\u097f\u0e31-\u0e4e])"
-_WORD_BEFORE = re.compile(rf"(?:{_L}+\.)*{_L}+$|\d+$")
 _WORD_AFTER = re.compile(rf"(?:{_L}|\d)+(?:['’]{_L}+)?")
-_TOKEN = re.compile(rf"{_L}+(?:\.{_L}+)*\.?")
+_RUN = "(?:[^\\W\\d_]+|[\u0300-\u036f\u064b-\u065f\u0900-\u0963\u0970-\u097f\u0e31-\u0e4e]+)+"
+_TOKEN = re.compile(rf"{_RUN}(?:\.{_RUN})*\.?")
+_ASCII_TOKEN = re.compile(r"[A-Za-z]+(?:\.[A-Za-z]+)*\.?")
+_PLAIN_WORD, _ASCII_WORD = re.compile(r"[^\W\d_]+"), re.compile("[a-z]+")
+_MARKER = re.compile(r"\s*(?:#{1,6}|[-*+•‣▪◦·]|\d{1,3}[.)])?\s*")
+#: word -> ((language, log odds), ..)
+Profiles = dict[str, tuple[tuple[str, float], ...]]
 _TH = "[฀-๿]"
 _THAI_GAP = re.compile(rf"(?<={_TH})\s+(?={_TH})")
 _CJK = re.compile("[぀-ヿ一-鿿]")
 
 
-def language(lang: str | None, text: str) -> str:
-    """The language whose statistics count: that of the script, or the stated one, or the one whose common words occur."""
-    sample = text
-    counts = [(len(rx.findall(sample)), name) for name, rx in _SCRIPTS] if not text.isascii() else []
-    n, name = max(counts, default=(0, ""))
-    if name == "zh" and counts[1][0]:
-        name = "ja"
-    if n > 0.1 * len(sample):
-        return name
-    stated = (lang or "").lower()[:2]
-    words = Counter(re.findall(r"[^\W\d_]+", sample.lower()))
-    votes = {k: sum(words[w] for w in common) for k, common in _COMMON.items()}
-    best = max(votes, key=lambda k: (votes[k], k == "en"))
+def _words(text: str) -> set[str]:
+    return set((_ASCII_WORD if text.isascii() else _PLAIN_WORD).findall(text.lower()))
+
+
+def language(lang: str | None, text: str, profiles: Profiles) -> str:
+    """The language whose statistics count: that of a script without spaces, or the one whose profile the words fit best; the stated one where that is as good."""
+    if not text.isascii():
+        counts = [(sum(map(len, rx.findall(text))), name) for name, rx in _SCRIPTS]
+        n, name = max(counts)
+        if name == "zh" and counts[1][0]:
+            name = "ja"
+        if n > 0.1 * len(text):
+            return name
+    stated = (lang or "").strip().lower()[:2]
+    scores: dict[str, float] = {}
+    for w in _words(text):
+        for k, v in profiles.get(w, ()):
+            scores[k] = scores.get(k, 0.0) + v
+    if not scores:
+        return stated
+    best = max(scores, key=lambda k: (scores[k], k))
     # a stated language holds unless the words speak clearly against it
-    return stated if stated in votes and votes[best] < max(3, 2 * votes[stated] + 1) else best
+    return stated if scores[best] < scores.get(stated, 0.0) + 3.0 and stated in scores else best
 
 
 def blocks(text: str) -> Iterator[tuple[int, int, str]]:
@@ -134,6 +146,22 @@ class Model:
     after_number: set = field(default_factory=set)
 
 
+def _letter(c: str) -> bool:
+    return c.isalpha() or "\u0300" <= c <= "\u036f" or "\u064b" <= c <= "\u065f" or "\u0900" <= c <= "\u0963" or "\u0970" <= c <= "\u097f" or "\u0e31" <= c <= "\u0e4e"
+
+
+def word_before(text: str, a: int, end: int) -> str:
+    """The word that ends at `end`, with periods inside it, or the digits that end there; whatever its length."""
+    at = end
+    if at > a and text[at - 1].isdecimal():
+        while at > a and text[at - 1].isdecimal():
+            at -= 1
+        return text[at:end]
+    while at > a and (_letter(text[at - 1]) or text[at - 1] == "." and at < end and text[at] != "." and at - 1 > a and _letter(text[at - 2])):
+        at -= 1
+    return text[at:end]
+
+
 def first_word(text: str, at: int, end: int) -> str:
     """The word or, in scripts without spaces, the first two letters after opening marks."""
     while at < end and (text[at].isspace() or text[at] in _OPENERS):
@@ -237,24 +265,24 @@ def boundary(text: str, start: int, s: int, e: int, nxt: int, b: int, ender: str
         return True
     if ender == "۔":
         return True
-    before = _WORD_BEFORE.search(text, max(start, s - 40), s)
-    w = before[0].lower() if before else ""
+    before = word_before(text, start, s)
+    w = before.lower()
     if sure is not None:
         sure(w, before, word, c)
         return len(w.rpartition(".")[2]) > LONGEST and not w.isdigit() and not lower
     if w.isdigit():
         return word not in model.after_number
-    single = len(w) == 1 and before[0].isupper()
+    single = len(w) == 1 and before.isupper()
     if w in model.abbreviations or single:
         return not lower and word in model.starters
     return bool(w) or not lower  # a word that is no abbreviation ends the unit whatever follows
 
 
-def units(text: str | None, lang: str | None, models: dict[str, Model]) -> list[tuple[int, int]]:
+def units(text: str | None, lang: str | None, models: dict[str, Model], profiles: Profiles) -> list[tuple[int, int]]:
     """(start, end) of the sentence units of a text."""
     if not text or text.isspace():
         return []
-    lang = language(lang, text)
+    lang = language(lang, text, profiles)
     model, out = models.get(lang) or Model(), []
     for a, b, kind in blocks(text):
         for s, e in prose(text, a, b, model, lang) if kind == "prose" else ((a, b),):
@@ -272,50 +300,85 @@ def units(text: str | None, lang: str | None, models: dict[str, Model]) -> list[
 STATS = "lang string, kind string, a string, b string, n long"
 
 
-def observe(text: str, lang: str, count: Counter) -> None:
-    """Add what one text shows: types with and without period, followers of periods, first words of units."""
+def observe(text: str, lang: str, count: Counter, tokens: Counter) -> None:
+    """Add what one text shows: its tokens, followers of periods, first words of units."""
+    find = (_ASCII_TOKEN if text.isascii() else _TOKEN).findall
+
+    def sure(w: str, before: str, word: str, c: str) -> None:
+        if w.isdigit():
+            count[lang, "number", word, ""] += 1
+        elif w:
+            kind = "low" if c.islower() or c.isdigit() else "up"
+            count[lang, kind, w, word if kind == "up" else ""] += 1
+
     for a, b, kind in blocks(text):
         if kind == "fence":
             continue
-        for token in _TOKEN.findall(text[a:b]):
-            w = token.rstrip(".").lower()
-            if len(w) <= LONGEST and token[-1] != ".":
-                count[lang, "bare", w, ""] += 1
-            count[lang, "word", token.rstrip("."), ""] += 1
-
-        def sure(w: str, before, word: str, c: str) -> None:
-            if w.isdigit():
-                count[lang, "number", word, ""] += 1
-            elif w and len(w) <= LONGEST:
-                kind = "low" if c.islower() or c.isdigit() else "up"
-                count[lang, kind, w, word if kind == "up" and len(word) <= 24 else ""] += 1
-
+        tokens.update(find(text[a:b]))
+        n = 0
         for s, e in prose(text, a, b, Model(), lang, sure) if kind == "prose" else ((a, b),):
             if s == a and kind != "prose":
-                s = re.compile(r"\s*(?:#{1,6}|[-*+•‣▪◦·]|\d{1,3}[.)])?\s*").match(text, s, b).end()
+                s = _MARKER.match(text, s, b).end()
             count[lang, "start", first_word(text, s, b), ""] += 1
-            count[lang, "units", "", ""] += 1
-        last = text[a:b].rstrip().rstrip(_CLOSERS)
-        if last.endswith(".") and (m := _WORD_BEFORE.search(last[-42:-1])) and not m[0].isdigit():
-            count[lang, "end", m[0].lower(), ""] += 1
+            n += 1
+        count[lang, "units", "", ""] += n
+        last = b
+        while last > a and (text[last - 1].isspace() or text[last - 1] in _CLOSERS):
+            last -= 1
+        if last > a and text[last - 1] == "." and (w := word_before(text, a, last - 1)) and not w.isdigit():
+            count[lang, "end", w.lower(), ""] += 1
 
 
-def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def pack(count: Counter) -> pa.RecordBatch:
-        rows = [(*k, n) for k, n in count.items()]
-        columns = list(zip(*rows)) if rows else [[]] * 5
+def _observe(batches: Iterator[pa.RecordBatch], profiles: Profiles) -> Iterator[pa.RecordBatch]:
+    count: Counter = Counter()
+    tokens: dict[str, Counter] = {}
+
+    def pack() -> pa.RecordBatch:
+        for lang, seen in tokens.items():
+            for token, n in seen.items():
+                bare = token.rstrip(".")
+                count[lang, "word", bare, ""] += n
+                if token[-1] != ".":
+                    count[lang, "bare", bare.lower(), ""] += n
+        columns = list(zip(*((*k, n) for k, n in count.items()))) or [[]] * 5
         types = [pa.string()] * 4 + [pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[x.split()[0] for x in STATS.split(", ")])
+        out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[x.split()[0] for x in STATS.split(", ")])
+        count.clear()
+        tokens.clear()
+        return out
 
-    count: Counter = Counter()
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if text and not text.isspace():
-                observe(text, language(lang, text), count)
-            if len(count) > 200_000:  # what is counted so far goes on to the shuffle
-                yield pack(count)
-                count.clear()
-    yield pack(count)
+                known = language(lang, text, profiles)
+                observe(text, known, count, tokens.setdefault(known, Counter()))
+            if len(count) + sum(map(len, tokens.values())) > 400_000:  # what is counted so far goes on to the shuffle
+                yield pack()
+    yield pack()
+
+
+def learn_profiles(docs: DataFrame) -> Profiles:
+    """The words that tell languages apart, from the stated languages of docs (lang, text), some of which may be wrong.
+
+    A word counts once per document. Its log odds compare the share of a language's documents that hold it with the mean
+    share over all languages, so a few wrong labels hardly move it.
+    """
+    stated = F.left(F.lower(F.trim("lang")), F.lit(2))
+    rows = docs.select(stated.alias("lang"), F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("words")).where("lang rlike '^[a-z]{2}$' and size(words) > 0")
+    n_docs = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # at most 26 * 26 languages
+    if not n_docs:
+        return {}
+    share = F.create_map(*[F.lit(x) for k, n in n_docs.items() for x in (k, float(n))])
+    words = rows.select("lang", F.explode("words").alias("w")).groupBy("lang", "w").agg(F.count("*").alias("n")).withColumn("share", F.col("n") / F.element_at(share, F.col("lang")))
+    kept = words.where((F.col("share") >= PROFILE_SHARE) & (F.col("n") >= LEAST)).select("w").distinct()
+    found: dict[str, dict[str, float]] = {}
+    for r in words.join(kept, "w", "left_semi").select("w", "lang", "share").collect():  # the words of the profiles, bounded by PROFILE_SHARE
+        found.setdefault(r["w"], {})[r["lang"]] = r["share"]
+    out = {}
+    for w, shares in found.items():
+        mean = sum(shares.values()) / len(n_docs)
+        out[w] = tuple((k, math.log((shares.get(k, 0.0) + 0.01) / (mean + 0.01))) for k in n_docs)
+    return out
 
 
 def _llr(both: Column, a: Column, b: Column, n: Column) -> Column:
@@ -329,26 +392,26 @@ def _llr(both: Column, a: Column, b: Column, n: Column) -> Column:
     return -2 * (log_l(both, a, p) + log_l(b - both, n - a, p) - log_l(both, a, p1) - log_l(b - both, n - a, p2))
 
 
-def learn(docs: DataFrame) -> dict[str, Model]:
+def learn(docs: DataFrame, profiles: Profiles) -> dict[str, Model]:
     """The models of all languages from all texts of docs (lang, text).
 
     The counts stay in Spark; the driver takes only the words that pass the
-    tests, at most MOST of them, else this raises.
+    tests, of which LEAST_SHARE bounds the number.
     """
-    stats = docs.select("lang", "text").mapInArrow(_observe, STATS).groupBy("lang", "kind", "a", "b").agg(F.sum("n").alias("n"))
+    stats = docs.select("lang", "text").mapInArrow(lambda it: _observe(it, profiles), STATS).groupBy("lang", "kind", "a", "b").agg(F.sum("n").alias("n"))
     stats = cut(stats)
     of = lambda kind: stats.where(F.col("kind") == kind)
     words = of("word").groupBy("lang").agg(F.sum("n").cast("double").alias("n_all"))
     n_units = of("units").select("lang", F.col("n").cast("double").alias("n_units"))
     word = of("word").select("lang", "a", F.col("n").cast("double").alias("n_word"))
     scale = words.join(n_units, "lang")
-    start = of("start").where("a <> '' and n >= 5").select("lang", "a", F.col("n").cast("double").alias("n_start")).join(word, ["lang", "a"], "left").join(scale, "lang")
+    start = of("start").where("a <> '' and n >= 5").select("lang", "a", F.col("n").cast("double").alias("n_start")).join(word, ["lang", "a"], "left").join(scale, "lang").where(F.col("n_start") >= LEAST_SHARE * F.col("n_units"))
     # a word of a script without spaces has no count of its own; its share of the units must do
     spaced = F.col("n_word").isNotNull() & (F.col("n_word") >= F.col("n_start"))
     tested = F.when(spaced, (_llr(F.col("n_start"), F.col("n_units"), F.col("n_word"), F.col("n_all")) >= STARTER_LLR) & (F.col("n_start") / F.col("n_units") > F.col("n_word") / F.col("n_all"))).otherwise(F.col("n_start") >= 0.002 * F.col("n_units"))
     starters = start.where(tested).select("lang", "a")
     number_all = of("number").groupBy("lang").agg(F.sum("n").cast("double").alias("n_number"))
-    number = of("number").where("a <> '' and n >= 5").select("lang", "a", F.col("n").cast("double").alias("n_both")).join(word, ["lang", "a"]).join(number_all, "lang").join(words, "lang")
+    number = of("number").where("a <> '' and n >= 5").select("lang", "a", F.col("n").cast("double").alias("n_both")).join(word, ["lang", "a"]).join(number_all, "lang").where(F.col("n_both") >= LEAST_SHARE * F.col("n_number")).join(words, "lang")
     collocated = number.where((_llr(F.col("n_both"), F.col("n_number"), F.col("n_word"), F.col("n_all")) >= COLLOCATION_LLR) & (F.col("n_both") >= 0.3 * F.col("n_word")))
     dotted = stats.where("kind in ('up', 'low', 'end')").join(starters.select("lang", F.col("a").alias("b"), F.lit(1).alias("is_start")), ["lang", "b"], "left")
     per = dotted.groupBy("lang", "a").agg(
@@ -356,31 +419,30 @@ def learn(docs: DataFrame) -> dict[str, Model]:
         F.sum(F.when(F.col("kind") == "end", F.col("n")).otherwise(0)).alias("ends"), F.sum(F.when(F.col("is_start") == 1, F.col("n")).otherwise(0)).alias("begun"),
     ).join(of("bare").select("lang", "a", F.col("n").alias("bare")), ["lang", "a"], "left").na.fill(0, ["bare"])
     dots = F.col("inner") + F.col("ends")
-    per = per.where((dots >= LEAST) & (F.length("a") <= LONGEST)).withColumn("dots", dots.cast("double")).join(words, "lang").join(stats.where("kind in ('up', 'low', 'end')").groupBy("lang").agg(F.sum("n").cast("double").alias("n_dots")), "lang")
+    per = per.where(dots >= LEAST).withColumn("dots", dots.cast("double")).join(words, "lang").join(stats.where("kind in ('up', 'low', 'end')").groupBy("lang").agg(F.sum("n").cast("double").alias("n_dots")), "lang").where(F.col("dots") >= LEAST_SHARE * F.col("n_dots"))
     # the period is part of the type if it is far likelier there than elsewhere, and what follows goes on with the sentence
     bound = (_llr(F.col("dots"), F.col("dots") + F.col("bare"), F.col("n_dots"), F.col("n_all")) >= COLLOCATION_LLR) & (F.col("dots") / (F.col("dots") + F.col("bare")) > F.col("n_dots") / F.col("n_all"))
     goes_on = (F.col("low") >= 0.15 * F.col("dots")) | ((F.col("ends") <= 0.01 * F.col("dots")) & (F.col("begun") <= 0.05 * F.col("dots")))
-    abbreviations = per.where(bound & goes_on).select("lang", "a")
+    # a long word is an abbreviation only if it goes on nearly always
+    short = (F.length("a") <= LONGEST) | (F.col("low") >= 0.8 * F.col("dots"))
+    abbreviations = per.where(bound & goes_on & short).select("lang", "a")
     found = starters.select("lang", F.lit("starter").alias("what"), "a").unionByName(collocated.select("lang", F.lit("number").alias("what"), "a")).unionByName(abbreviations.select("lang", F.lit("abbreviation").alias("what"), "a"))
-    rows = found.limit(MOST + 1).collect()
-    if len(rows) > MOST:
-        raise ValueError(f"more than {MOST} learned words")
     models: dict[str, Model] = {}
-    for lang, what, a in rows:
+    for lang, what, a in found.collect():  # three sorts of at most 1 / LEAST_SHARE words per language
         m = models.setdefault(lang, Model())
         {"starter": m.starters, "number": m.after_number, "abbreviation": m.abbreviations}[what].add(a)
     return models
 
 
-def _split(batches: Iterator[pa.RecordBatch], models: dict[str, Model]) -> Iterator[pa.RecordBatch]:
+def _split(batches: Iterator[pa.RecordBatch], models: dict[str, Model], profiles: Profiles) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
-            rows = [(k, s, e) for k, lang, text in zip(*(part.column(i).to_pylist() for i in range(3))) for s, e in units(text, lang, models)]
+            rows = [(k, s, e) for k, lang, text in zip(*(part.column(i).to_pylist() for i in range(3))) for s, e in units(text, lang, models, profiles)]
             columns = list(zip(*rows)) if rows else [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32()))], names=["doc_id", "start_pos", "end_pos"])
 
 
-def split(docs: DataFrame, models: dict[str, Model]) -> DataFrame:
+def split(docs: DataFrame, models: dict[str, Model], profiles: Profiles) -> DataFrame:
     """(doc_id, start_pos, end_pos) of every sentence unit of docs (doc_id, lang, text); offsets in code points, end exclusive."""
-    return docs.select("doc_id", "lang", "text").mapInArrow(lambda it: _split(it, models), "doc_id bigint, start_pos int, end_pos int")
+    return docs.select("doc_id", "lang", "text").mapInArrow(lambda it: _split(it, models, profiles), "doc_id bigint, start_pos int, end_pos int")
