@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomlog.operators.nested import read_json
-from loomlog.util import clean_key
+from loomlog.util import clean_key, cut
 
 #: sequence numbers that one task sorts at a time
 BLOCK = 4096
@@ -179,6 +179,7 @@ def defects(messages: DataFrame, sessions: DataFrame, block: int = BLOCK) -> Dat
     # copies of one message are few as a rule, but may be many: they go before the blocks are gathered
     rows = rows.dropDuplicates(["session_id", "seq", "speaker", "digest"])
     blocks = rows.repartition("session_id", "block").sortWithinPartitions("session_id", "block", "seq").mapInArrow(_summaries, SUMMARY)
+    blocks = cut(blocks)  # one row per block, looked at from three sides
     nxt = Window.partitionBy("session_id").orderBy("block")  # one row per block, not per message
     whole = blocks.withColumn("_next", F.first(F.col("first_event"), True).over(nxt.rowsBetween(1, Window.unboundedFollowing)))
     per = whole.groupBy("session_id").agg(
@@ -199,9 +200,38 @@ def defects(messages: DataFrame, sessions: DataFrame, block: int = BLOCK) -> Dat
     return sessions.select("session_id").unionByName(per.select("session_id")).distinct().join(per, "session_id", "left").join(open_ids, "session_id", "left").select("session_id", reason.alias("reason"))
 
 
-def turns(messages: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """(session_id, turn, speaker, text, uses, results) of the sound conversations; a session's seq has no gaps, so it numbers the turns."""
-    rows = read(messages).where("speaker is not null").dropDuplicates(["session_id", "seq"])
-    start = rows.groupBy("session_id").agg(F.min("seq").alias("_from"))
-    sound = verdicts.where("reason is null").select("session_id").join(start, "session_id")
-    return rows.join(sound, "session_id").select("session_id", (F.col("seq") - F.col("_from")).alias("turn"), "speaker", "text", "uses", "results")
+ORDERED = "session_id string, block long, place int, speaker string, text string, uses array<string>, results array<string>"
+
+
+def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The messages of each block in topological order; what a cycle keeps back follows in the order of seq."""
+    names = [x.split()[0] for x in ORDERED.split(", ")]
+    types = [pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string())]
+
+    def placed() -> Iterator[tuple]:
+        rows = (r for batch in batches for r in batch.to_pylist())
+        for (session, block), group in itertools.groupby(rows, key=lambda r: (r["session_id"], r["block"])):
+            held = list(group)
+            order, left = topological(held)
+            if left:
+                done = {id(r) for r in order}
+                order += [r for r in held if id(r) not in done]
+            for place, r in enumerate(order):
+                yield session, block, place, r["speaker"], r["text"], r["uses"], r["results"]
+
+    for some in itertools.batched(placed(), 5000):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), types)], names=names)
+
+
+def turns(messages: DataFrame, verdicts: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(session_id, turn, speaker, text, uses, results) of the sound conversations; turns are numbered from 0 in the order of the reply graph."""
+    sound = verdicts.where("reason is null").select("session_id")
+    rows = read(messages).where("speaker is not null").join(sound, "session_id", "left_semi").dropDuplicates(["session_id", "seq"]).withColumn("block", F.floor(F.col("seq") / block))
+    rows = rows.select("session_id", "block", "seq", "time", "speaker", "text", "uses", "results")
+    order = rows.repartition("session_id", "block").sortWithinPartitions("session_id", "block", "seq").mapInArrow(_ordered, ORDERED)
+    # a block begins where the blocks before it end: one row per block
+    sizes = rows.groupBy("session_id", "block").agg(F.count("*").alias("n"))
+    start = F.coalesce(F.sum("n").over(Window.partitionBy("session_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(F.col("session_id").alias("_s"), F.col("block").alias("_b"), start.alias("start"))
+    placed = order.join(starts, (F.col("session_id") == F.col("_s")) & (F.col("block") == F.col("_b")))
+    return placed.select("session_id", (F.col("start") + F.col("place")).alias("turn"), "speaker", "text", "uses", "results")

@@ -35,48 +35,70 @@ SALTS = 64
 def reduce_instance(sizes: dict[int, int], capacity: int) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:
     """Dominant sets as (sizes of one container, number of containers), and what is left of the histogram.
 
-    For the largest item j: alone if nothing fits beside it; with the largest
-    k that fits if k fills it up or no two items fit beside it, or if k is at
-    least as large as the best pair of which exactly two fit.
+    For an item j: alone if nothing fits beside it; with the largest k that
+    fits if k fills it up or no two items fit beside it, or if k is at least as
+    large as the best pair of which exactly two fit. All items are tried, the
+    largest first, and again as long as that fixes anything, as a set that is
+    gone may let another dominate.
     """
     left, fixed = Counter({s: n for s, n in sizes.items() if n > 0}), []
     order = sorted(left)
 
-    def largest_up_to(room: int, without: Counter) -> int | None:
+    def usable(s: int, j: int) -> int:
+        return left[s] - (s == j)
+
+    def largest_up_to(room: int, j: int) -> int | None:
         i = bisect.bisect_right(order, room) - 1
-        while i >= 0 and left[order[i]] - without[order[i]] <= 0:
+        while i >= 0 and usable(order[i], j) <= 0:
             i -= 1
         return order[i] if i >= 0 else None
 
-    for j in sorted(left, reverse=True):
-        while left[j] > 0:
-            room, one = capacity - j, Counter({j: 1})
-            k = largest_up_to(room, one)
-            if k is None:
-                fixed.append(((j,), left[j]))
-                left[j] = 0
-                break
-            smallest = next(s for s in order if left[s] - one[s] > 0)
-            n_small = left[smallest] - one[smallest]
-            second = smallest if n_small > 1 else next((s for s in order if s > smallest and left[s] - one[s] > 0), capacity + 1)
-            third = smallest if n_small > 2 else second if second <= capacity and left[second] - one[second] - (n_small > 1 and second == smallest) > 1 - (n_small > 1) else next((s for s in order if s > second and left[s] - one[s] > 0), capacity + 1)
-            fits = j + k == capacity or smallest + second > room
-            if not fits and smallest + second + third > room:  # at most two fit beside j
-                best, used = 0, one.copy()
-                for a in order:
-                    if a > room or left[a] - used[a] <= 0:
-                        continue
-                    b = largest_up_to(room - a, used + Counter({a: 1}))
-                    best = max(best, a + b) if b is not None else best
-                fits = k >= best
-            if not fits:
+    def smallest_three(j: int) -> list[int]:
+        out: list[int] = []
+        for s in order:
+            out += [s] * min(3 - len(out), max(usable(s, j), 0))
+            if len(out) == 3:
                 break
-            times = min(left[j], left[k]) if k != j else left[j] // 2
-            fixed.append(((j, k), times))
-            left[j] -= times
-            left[k] -= times
-        if left[j] > 0:
-            break  # the largest item that is left has no dominant set
+        return out + [capacity + 1] * (3 - len(out))
+
+    def best_pair(room: int, j: int) -> int:
+        """The largest sum of two items that fits."""
+        lo, hi, best = 0, bisect.bisect_right(order, room) - 1, 0
+        while lo <= hi:
+            a, b = order[lo], order[hi]
+            if usable(a, j) <= 0:
+                lo += 1
+            elif usable(b, j) <= 0 or a + b > room or lo == hi and usable(a, j) < 2:
+                hi -= 1
+            else:
+                best = max(best, a + b)
+                lo += 1
+        return best
+
+    moved = True
+    while moved:
+        moved = False
+        order = [s for s in order if left[s] > 0]
+        for j in reversed(order):
+            while left[j] > 0:
+                room = capacity - j
+                k = largest_up_to(room, j)
+                if k is None:
+                    fixed.append(((j,), left[j]))
+                    left[j] = 0
+                    moved = True
+                    break
+                one, two, three = smallest_three(j)
+                fits = j + k == capacity or one + two > room
+                if not fits and one + two + three > room:  # at most two fit beside j
+                    fits = k >= best_pair(room, j)
+                if not fits:
+                    break
+                times = min(left[j], left[k]) if k != j else left[j] // 2
+                fixed.append(((j, k), times))
+                left[j] -= times
+                left[k] -= times
+                moved = True
     return fixed, {s: n for s, n in left.items() if n > 0}
 
 

@@ -40,24 +40,34 @@ SURNAME_ENDINGS = ["berg", "sen", "son", "quist", "ham", "etti", "wyn", "ik", "o
 # Words that stand in a name's place without being one.
 ROLE_WORDS = {"the", "main", "branch", "release", "candidate", "merge", "queue", "entry", "points", "build", "failed", "access", "denied", "windows", "wall", "worker", "loader", "agent", "service", "admin", "runner", "public", "shared", "default", "node", "data", "root", "user", "users", "home", "court", "street", "road", "calle"}
 
+# Common words with the endings of family names.
+NO_SURNAMES = {
+    "board", "dashboard", "keyboard", "clipboard", "whiteboard", "scoreboard", "motherboard", "onboard", "standard", "wizard", "guard", "safeguard", "hazard", "card", "scorecard", "wildcard", "flashcard", "yard", "backyard", "forward", "backward",
+    "inward", "outward", "upward", "downward", "reward", "award", "hard", "ward", "steward", "lizard", "blizzard", "custard", "mustard", "orchard", "billiard", "discard", "retard", "vanguard", "person", "comparison", "season", "reason", "lesson", "poison",
+    "prison", "bison", "unison", "liaison", "caisson", "garrison", "treason", "chairperson", "salesperson", "spokesperson", "json", "son", "listen", "chosen", "frozen", "citizen", "dozen", "low", "flow", "workflow", "overflow", "window", "shadow", "below",
+    "follow", "allow", "arrow", "narrow", "row", "show", "slow", "snow", "throw", "tomorrow", "yellow", "pillow", "median", "guardian", "custodian", "librarian", "civilian", "italian", "indian", "persian", "russian", "asian", "laplacian", "gaussian", "cartesian",
+    "iceberg", "commander", "calendar", "lavender", "islander", "champion", "lander", "expander", "oleander", "sky", "risky", "whisky", "husky", "dusky", "ham", "graham", "gotham", "wham", "sham", "einstein", "protein", "epstein", "human", "dez", "ez",
+}
+
 DISGUISE = re.compile(r"(?i)\s?[\[({<]\s?(at|dot)\s?[\])}>]\s?|%40|&#64;|&commat;|(?<=\w) at (?=[\w-]+ dot \w)|(?<=\w) dot (?=\w)")
 SPELLED = re.compile(r"(?i)\b(?:(?:%s)[ -]){5,}(?:%s)\b" % ("|".join(DIGIT_WORDS), "|".join(DIGIT_WORDS)))
 
 LOCAL_PART = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._+-")
 DOMAIN = re.compile(r"@((?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,})(?![\w@-])(?!:[\w/~.])")
-LOGIN_BEFORE = re.compile(r"(?:\b(?:ssh|scp|rsync|sftp|mosh)\b[^\n;&|\"']*|://)$")
+LOGIN = re.compile(r"\b(?:ssh|scp|rsync|sftp|mosh)\b")
 _DIGITS_END = r"(?![\w])(?![.-]\d)"
 #: each alternative begins inside one set of characters, so the search can skip ahead; what stands before is looked at afterwards
 PHONE = re.compile(
     r"[+(0-9](?:(?<=\+)\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d(?:[ .-]?\d){6,11}|(?<=0)0[1-9]\d{0,2}(?:[ .-]\d{1,4}){2,6}"
-    r"|(?<=\()\d{3}\) ?\d{3}[.-]\d{4}|(?<=[2-9])\d{2}([ .-])[2-9]\d{2}\1\d{4}|(?<=0)\d{2,4}/ ?\d{3,6}(?:-\d{1,4})?|(?<=0)7\d{3} \d{6}|(?<=0)[1-9]\d{2,3} \d{6})" + _DIGITS_END
+    r"|(?<=\()\d{3}\) ?\d{3}[.-]\d{4}|(?<=[2-9])\d{2}([ .-])[2-9]\d{2}\1\d{4}|(?<=0)\d{2,4}/ ?\d{3,6}(?:-\d{1,4})?|(?<=0)7\d{3} \d{6}|(?<=0)[1-9]\d{2,3} \d{6}"
+    r"|(?<=0)[1-9]\d{0,3}(?: \d{3,4}){2}|(?<=\()0\d{1,4}\) ?\d{3,8}(?:[ -]\d{1,5})?)" + _DIGITS_END
 )
 NOT_BEFORE_PHONE = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_.+/:-")
 NO_PHONE_BEFORE = re.compile(r"(?i)\b(?:rev|revision|version|ver|v|build|release|sku|lane|commit|pid|run|id|at|port|ip)[ .:=#]*$")
 ID_NUMBER = re.compile(
     r"(?i)(?<![a-z])(?:(?:ssn|social security(?: number| no\.?)?)\W{0,3}\d{3}[- ]?\d{2}[- ]?\d{4}|national id(?:entity)?(?: number| no\.?)?\W{1,3}\d{6}[-+ ]?\d{4}"
     r"|steuer-?id(?:nr\.?)?\W{1,3}\d{2} ?\d{3} ?\d{3} ?\d{3}|(?:nino|national insurance(?: number| no\.?)?)\W{1,3}[a-z]{2} ?\d{2} ?\d{2} ?\d{2} ?[a-d]"
-    r"|(?:dni|nie)\W{1,3}[xyz]?\d{7,8}-?[a-z]|passport(?: no\.?| number| nr\.?)?\W{1,3}[a-z]{0,2}\d{6,9}|(?:driver'?s? licen[cs]e|tax id)(?: no\.?| number)?\W{1,3}[a-z0-9-]{6,14})(?![\w])"
+    r"|(?:dni|nie)\W{1,3}[xyz]?\d{7,8}-?[a-z]|cpf\W{1,3}\d{3}\.?\d{3}\.?\d{3}-?\d{2}|codice fiscale\W{1,3}[a-z]{6}\d{2}[a-z]\d{2}[a-z]\d{3}[a-z]|pesel\W{1,3}\d{11}|bsn\W{1,3}\d{9}|aadhaar\W{1,3}\d{4} ?\d{4} ?\d{4}|passport(?: no\.?| number| nr\.?)?\W{1,3}[a-z]{0,2}\d{6,9}|(?:driver'?s? licen[cs]e|tax id)(?: no\.?| number)?\W{1,3}[a-z0-9-]{6,14})(?![\w])"
 )
 _CAP = r"[A-ZÀ-Þ][\w'’-]*"
 _TOWN = rf"(?:, (?:Apt\.? \d+|\d{{1,2}}º ?[A-Z]))?(?:,? \d{{4,5}} {_CAP}|, {_CAP}(?: [A-Z]{{2}} \d{{5}})?)?"
@@ -65,6 +75,8 @@ ADDRESS = re.compile(
     rf"(?<![\w.])(?:\d{{1,5}} (?:{_CAP} ){{1,3}}(?:Street|STREET|St\.?|ST\.?|Road|ROAD|Rd\.?|RD\.?|Avenue|AVENUE|Ave\.?|AVE\.?|Lane|LANE|Court|COURT|Drive|DRIVE|Boulevard|BOULEVARD|Blvd\.?|Way|WAY|Place|PLACE|Square|SQUARE|Terrace|TERRACE)(?!\w)"
     rf"|\d{{1,4}}(?: bis| ter)?,? (?:[rR]ue|RUE|[aA]venue|AVENUE|[bB]oulevard|BOULEVARD|[pP]lace|PLACE|[cC]hemin|CHEMIN|[aA]llée|[qQ]uai|[iI]mpasse) (?:(?:de la|du|des|de|DE LA|DU|DES|DE) |(?:de l|d|DE L|D)['’])?{_CAP}"
     rf"|(?:Calle|CALLE|Avenida|AVENIDA|Avda\.|Plaza|PLAZA|Paseo|PASEO|Camino|CAMINO) (?:(?:de la|de los|de las|del|de|DE LA|DEL|DE) )?{_CAP},? (?:n\.?º ?)?\d{{1,4}}\b"
+    rf"|(?:Via|Viale|Piazza|Corso|Rua|Travessa|ul\.) (?:(?:della|del|dei|da|do|dos|di|de) )?{_CAP}(?: {_CAP})?,? (?:n\.?º? ?)?\d{{1,4}}\b"
+    rf"|{_CAP}(?:straat|laan|gracht|plein) \d{{1,4}}\b"
     rf"|[A-ZÄÖÜ]\w*(?:straße|strasse|str\.|gasse|weg|allee|platz|ring|damm|ufer|STRASSE|STRAßE|GASSE|WEG|ALLEE|PLATZ) \d{{1,4}}[a-z]?\b){_TOWN}"
 )
 _END = "(?:" + "|".join(SURNAME_ENDINGS) + ")"
@@ -72,7 +84,7 @@ _TITLE = r"(?:Dr\. |Prof\. |Mr\.? |Mrs\.? |Ms\.? |DR\. |dr\. )?"
 _SUR = r"[A-Z][a-z]{2,}(?:-[A-Z][a-z]{2,})?"
 _SUR_END = rf"(?:[A-Z][a-z]+-)?[A-Z][a-z]*{_END}(?:-[A-Z][a-z]+)?"
 _CONTEXT = r"(?i:author[:=] ?\"?|reviewed-by: |co-authored-by: |signed-off-by: |last edited by |\"holder\":\"|user\.name \"|deliver to |talk to |owner is |assigned to |contact |echo \"|^)"
-HOME = re.compile(r"(?i:[/\\]users[/\\]|[/\\]home[/\\]|[/\\]profiles[/\\]|documents and settings[/\\])([^/\\\n\"'<>|:;,]{3,60})")
+HOME = re.compile(r"(?i:[/\\]users[/\\]|[/\\]home[/\\]|[/\\]profiles[/\\]|documents and settings[/\\])([^/\\\n\"'<>|:;,]{3,})")
 _PART = re.compile(r"[._ -]+|(?<=[a-z])(?=[A-Z])")
 _ENDS = re.compile(rf"(?i)^[a-z]+{_END}$")
 
@@ -81,13 +93,13 @@ _ENDS = re.compile(rf"(?i)^[a-z]+{_END}$")
 GIVEN, CONTEXT, PLACE, DOCUMENT, DISGUISED, DIRECTORY, DIGIT = 1, 2, 4, 8, 16, 32, 64
 TRIGGERS = {
     CONTEXT: ["author", "reviewed-by", "signed-off", "last edited by", "holder", "user.name", "deliver to", "talk to", "owner is", "assigned to", "contact ", 'echo "', " asked", " before"],
-    PLACE: ["street", "st.", " st", "road", "rd.", "avenue", " ave", "lane", "court", "drive", "boulevard", "blvd", " way", "place ", " place", "square", "terrace", "rue ", "chemin", "allée", "quai ", "impasse", "calle ", "avenida", "avda", "plaza", "paseo", "camino", "straße", "strasse", "str. ", "gasse ", "weg ", "allee ", "platz ", "ring ", "damm ", "ufer "],
-    DOCUMENT: ["ssn", "social security", "national i", "steuer", "nino", "dni", "nie", "passport", "licen", "tax id"],
+    PLACE: ["street", "st.", " st", "road", "rd.", "avenue", " ave", "lane", "court", "drive", "boulevard", "blvd", " way", "place ", " place", "square", "terrace", "rue ", "chemin", "allée", "quai ", "impasse", "calle ", "avenida", "avda", "plaza", "paseo", "camino", "straße", "strasse", "str. ", "gasse ", "weg ", "allee ", "platz ", "ring ", "damm ", "ufer ", "via ", "viale ", "piazza ", "corso ", "rua ", "travessa ", "ul. ", "straat ", "laan ", "gracht ", "plein "],
+    DOCUMENT: ["ssn", "social security", "national i", "steuer", "nino", "dni", "nie", "passport", "licen", "tax id", "cpf", "codice fiscale", "pesel", "bsn", "aadhaar"],
     DISGUISED: ["(at", "( at", "[at", "[ at", "{at", "{ at", "<at", "%40", "&#64;", "&commat;", " dot ", "(dot", "[dot"],
     DIRECTORY: ["users/", "users\\", "home/", "home\\", "profiles/", "profiles\\", "documents and settings"],
     DIGIT: list(DIGIT_WORDS),
 }
-_CAPITAL_PAIR = re.compile(r"[A-Z][a-z]{2,}(?: [A-Z]\.)?,? (?:Dr\. )?[A-Z][a-z]{2,}")
+_CAPITAL_PAIR = re.compile(r"[A-Z][a-z]+(?: [A-Z]\.)?,? (?:Dr\. )?[A-Z][a-z]{2,}")
 _LIST_LINE = re.compile(r"(?m)^(?:[A-Za-z]+\. )?[A-Za-z]+ (?:[A-Za-z]\.? )?[A-Za-z-]+,[+0-9(]")
 
 
@@ -114,6 +126,8 @@ class Detector:
             rf"\b{_TITLE}(?:{title})(?: [A-Z]\.)? {_SUR}\b", rf"\b{_SUR}, {_TITLE}(?:{title})\b(?: [A-Z]\.)?", rf"\b{_TITLE}(?:{upper})(?: [A-Z]\.)? {up}\b", rf"\b{up}, {_TITLE}(?:{upper})\b(?: [A-Z]\.)?",
             rf"\b{_TITLE}(?:{lower})(?: [a-z]\.)? {low}\b", rf"\b{low}, (?:{lower})\b(?: [a-z]\.)?", rf"\b{_TITLE}(?P<given>[A-Z][a-z]{{2,}})(?: [A-Z]\.)? {_SUR_END}\b", rf"\b{_SUR_END}, {_TITLE}(?P<given>[A-Z][a-z]{{2,}})\b(?! \d)",
             rf"(?m){_CONTEXT}(?P<n>{_TITLE}(?P<given>[A-Z]{{3,}})(?: [A-Z]\.)? {up_end})\b", rf"(?m){_CONTEXT}(?P<n>(?P<given>[a-z]{{3,}})(?: [a-z]\.)? {low})\b(?=[,;<\"]| <| in | before| asked| \(|$)",
+            rf"(?i:author[:=] ?\"?|reviewed-by: |co-authored-by: |signed-off-by: )(?P<n>(?P<given>[A-Z][a-z]+)(?: [A-Z]\.)? {_SUR})\b", rf"\b(?P<n>(?P<given>[A-Z][a-z]+)(?: [A-Z]\.)? {_SUR})(?= <\x00)",
+            rf"\b(?P<n>(?:Dr|Prof|Mr|Mrs|Ms)\.? (?P<given>[A-Z][a-z]+)(?: [A-Z]\.)? {_SUR})\b",
             rf"(?P<n>(?P<given>[A-Z]{{3,}})(?: [A-Z]\.)? {up_end})(?= asked| before|\.? \(| <|,[+0-9(])", rf"(?P<n>\b(?P<given>[a-z]{{3,}})(?: [a-z]\.)? {low})(?= asked for| before you|\.? \(\S+@)",
         )]
 
@@ -170,6 +184,11 @@ class Detector:
             if any(a in self.given and len(b) > 2 or _ENDS.match(b) and len(b) > 4 for a, b in (low, low[::-1])):
                 yield m.start(1), m.end(1)
 
+    def _login(self, text: str, start: int) -> bool:
+        """Whether a login command or a URL's `://` stands before on the same command, however far."""
+        begin = max(text.rfind(c, 0, start) for c in "\n;&|\"'") + 1
+        return text[max(0, start - 3) : start] == "://" or bool(LOGIN.search(text, begin, start))
+
     def _emails(self, text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@")
         while at >= 0:
@@ -178,7 +197,7 @@ class Detector:
                 start -= 1
             while start < at and not text[start].isalnum():
                 start += 1
-            if start < at and text[start:at].lower() != "git" and (m := DOMAIN.match(text, at)) and not LOGIN_BEFORE.search(text, max(0, start - 200), start):
+            if start < at and text[start:at].lower() != "git" and (m := DOMAIN.match(text, at)) and not self._login(text, start):
                 yield start, m.end()
             at = text.find("@", at + 1)
 
@@ -194,11 +213,17 @@ class Detector:
         """(start, end, kind) in a normalised text; spans do not overlap."""
         found: list[tuple[int, int, str]] = []
 
-        def take(kind: str, spans: Iterable[tuple[int, int]]) -> None:
+        def take(kind: str, spans: list[tuple[int, int]]) -> None:
+            """Note the spans of a kind and blank them out, all in one new text."""
             nonlocal text
+            if not spans:
+                return
+            parts, end = [], 0
             for a, b in spans:
                 found.append((a, b, kind))
-                text = text[:a] + "\x00" * (b - a) + text[b:]
+                parts += [text[end:a], "\x00" * (b - a)]
+                end = b
+            text = "".join(parts) + text[end:]
 
         if "@" in text:
             take("EMAIL", list(self._emails(text)))
@@ -210,14 +235,17 @@ class Detector:
         if triggers & DIRECTORY:
             take("NAME", list(self._home_names(text)))
         listed = bool(triggers & CONTEXT) or _LIST_LINE.search(text)
-        on = (*[triggers & GIVEN] * 6, *[_CAPITAL_PAIR.search(text)] * 2, *[listed] * 4)
+        pair = _CAPITAL_PAIR.search(text)
+        on = (*[triggers & GIVEN] * 6, pair, pair, listed, listed, pair, pair, pair, listed, listed)
         for rx, wanted in zip(self.names, on):
             if not wanted:
                 continue
             hits = []
             for m in rx.finditer(text):
                 g = m.groupdict()
-                if g.get("given") and g["given"].lower() in ROLE_WORDS:
+                whole = m["n"] if "n" in g else m[0]
+                # a word that stands beside an unknown given name must not be a common one
+                if g.get("given") and (g["given"].lower() in ROLE_WORDS or {w.strip(",.").lower() for w in whole.split()} & NO_SURNAMES):
                     continue
                 hits.append(m.span("n") if "n" in g else m.span())
             if hits:
@@ -255,7 +283,8 @@ def _each(batches: Iterator[pa.RecordBatch], given: list[str], tbl: str, fields:
         rows = []
         for i, field in enumerate(fields, 1):
             for key, text in zip(keys, batch.column(i).to_pylist()):
-                if not text:
+                if not text:  # nothing to find; a redacted table keeps the row as it is
+                    rows += [(tbl, key, field, text)] if redacted else []
                     continue
                 done = memo.get(text)
                 if done is None:
