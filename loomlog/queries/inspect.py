@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomlog.functions import values
+from loomlog.operators import static
 from loomlog.plans import inspect
 from loomlog.queries.registry import query
 from loomlog.util import table
@@ -88,3 +90,30 @@ def prj_22_numbered_lines(spark, d):
     from loomlog.operators.freeze import numbered
 
     return _docs(spark, d).select(F.col("path").alias("doc_id"), numbered(inspect.split_lines(F.col("text"))).alias("numbered"))
+
+
+@query("SELECT CAST(ordinal AS VARCHAR) AS id, 'parsed' AS unit_status, 'exec_command' AS tool, 'candidate' AS status, regexp_extract(js, 'cmd: \"([^\"]*)\"', 1) AS command FROM records WHERE js IS NOT NULL AND contains(js, 'tools.exec_command({cmd: \"')")
+def fn_29_recovered_calls(spark, d):
+    """Shell commands that the JS cells spell out, recovered without running them."""
+    cells = table(spark, d, "records").where("js is not null").select(F.col("ordinal").alias("id"), F.col("js").alias("code"))
+    return static.recovered_calls(cells).where("tool is not null").select("id", "unit_status", "tool", "status", "command")
+
+
+def _reads(spark, d):
+    commands = table(spark, d, "commands_normalized").select(F.col("record_id").alias("id"), values.shell_text(F.col("command_text"), F.col("command_argv")).alias("code"))
+    return static.recovered_reads(commands.where(F.lower("code").contains("get-content")))
+
+
+@query()
+def fn_30_recovered_reads(spark, d):
+    """The Get-Content commands of all command texts with their status; texts are tested for the word before they are parsed."""
+    return _reads(spark, d)
+
+
+@query()
+def agg_40_recovery_counters(spark, d):
+    """How many recovered commands have which status."""
+    cells = table(spark, d, "records").where("js is not null").select(F.col("ordinal").alias("id"), F.col("js").alias("code"))
+    calls = static.recovered_calls(cells).select(F.lit("js").alias("kind"), F.coalesce("status", "unit_status").alias("status"))
+    return calls.unionByName(_reads(spark, d).select(F.lit("powershell").alias("kind"), "status")).groupBy("kind", "status").agg(F.count("*").alias("n"))
+
