@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomlog.operators import drift, instants, nested
+from loomlog.queries import instants_sql
 from loomlog.queries.registry import query
 from loomlog.util import clean_key, spread, table
 
@@ -24,13 +25,13 @@ def _instants(spark: SparkSession, d: str, where: Column) -> DataFrame:
     return instants.normalise(rows[0].unionByName(rows[1]).unionByName(rows[2]).where(where), "value", clean_key(F.col("session")), zones)
 
 
-@query()
+@query(instants_sql.ALL)
 def p2_instants(spark: SparkSession, d: str) -> DataFrame:
     """Every timestamp of the three tables with its instant, null where it denotes none."""
     return _instants(spark, d, F.lit(True)).select("tbl", "row_key", "value", "epoch_ms")
 
 
-@query()
+@query(instants_sql.FOUND)
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """The instants of all values that are not yet in the one canonical form."""
     canonical = F.col("value").rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}Z$") & ~F.col("value").contains("\n")
@@ -46,7 +47,15 @@ def _json_fields(spark: SparkSession, d: str) -> DataFrame:
     return of_lines.unionByName(of_parts).where("value is not null")
 
 
-@query()
+#: every JSON node below every field, level by level; `block` marks the elements of a content
+_NODES = r"""WITH RECURSIVE f AS (SELECT DISTINCT tbl, row_key, field, CAST(value AS JSON) AS v FROM (SELECT 'transcript_lines' AS tbl, CAST(line_id AS VARCHAR) AS row_key, 'message' AS field, message AS value FROM transcript_lines UNION ALL SELECT 'transcript_lines', CAST(line_id AS VARCHAR), 'toolUseResult', toolUseResult FROM transcript_lines UNION ALL SELECT 'oc_part', id, 'data', data FROM oc_part) WHERE json_valid(value)),
+n AS (SELECT tbl, row_key, field, '' AS path, v, false AS block, '' AS parent_path, 0 AS pos FROM f UNION ALL
+SELECT tbl, row_key, field, name || CASE WHEN single THEN '' ELSE '[' || i || ']' END, json_extract(arr, '$[' || i || ']'), block, name, CAST(i AS INT) FROM (SELECT *, unnest(range(CAST(json_array_length(arr) AS BIGINT))) AS i FROM
+(SELECT tbl, row_key, field, name, k = 'content' AND json_type(c) IN ('VARCHAR', 'OBJECT', 'ARRAY') AS block, NOT (k = 'content') AND json_type(c) = 'OBJECT' AS single, CASE WHEN json_type(c) = 'ARRAY' THEN c WHEN k = 'content' AND json_type(c) = 'VARCHAR' AND left(ltrim(c ->> '$'), 1) = '[' AND json_valid(c ->> '$') THEN CAST(c ->> '$' AS JSON) WHEN k = 'content' AND json_type(c) IN ('VARCHAR', 'OBJECT') OR json_type(c) = 'OBJECT' THEN json_array(c) END AS arr FROM
+(SELECT tbl, row_key, field, k, CASE WHEN k IS NULL THEN path WHEN path = '' THEN k ELSE path || '.' || k END AS name, CASE WHEN k IS NULL THEN v ELSE json_extract(v, '$."' || k || '"') END AS c FROM (SELECT *, unnest(CASE json_type(v) WHEN 'OBJECT' THEN json_keys(v) WHEN 'ARRAY' THEN [NULL] ELSE [] END) AS k FROM n))) WHERE arr IS NOT NULL) WHERE json_type(arr, '$[' || i || ']') <> 'NULL') """
+
+
+@query(_NODES + "SELECT DISTINCT tbl, row_key, field, parent_path, pos, coalesce(v ->> '$.type', 'text') AS block_type FROM n WHERE block")
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Every element stored under a key `content`, with its parent path and position."""
     blocks = nested.flatten(_json_fields(spark, d), only="block")
