@@ -29,6 +29,15 @@ def request_key(c: Column) -> Column:
     return F.when(key != EMPTY_SHA256, key)
 
 
+def _digest_sql(c: str) -> str:
+    bare = f"regexp_replace(lower(regexp_replace({c}, '^\\s+|\\s+$', '', 'g')), '^sha-?256[:=]\\s*', '')"
+    return f"CASE WHEN regexp_matches({bare}, '^[0-9a-f]{{64}}$') THEN {bare} END"
+
+
+ORACLES["p4_found"] = f"""WITH RECURSIVE f AS (SELECT DISTINCT g, k FROM (SELECT {_digest_sql('session_group')} AS g, nullif({_digest_sql('task_key')}, '{EMPTY_SHA256}') AS k FROM frozen_rows) WHERE g IS NOT NULL AND k IS NOT NULL),
+e AS (SELECT DISTINCT x.g AS a, y.g AS b FROM f x JOIN f y ON x.k = y.k), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT min(b) AS group_a, a AS group_b FROM r GROUP BY a HAVING min(b) < a"""
+
+
 @query
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Every session group that is tied to a smaller one, with the smallest of its component."""

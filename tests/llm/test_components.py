@@ -3,8 +3,6 @@
 import random
 from collections import Counter, defaultdict
 
-import pytest
-from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from loomlog.llm import components, queries
@@ -12,11 +10,6 @@ from loomlog.llm import components, queries
 SHARES = {"train": 0.3, "development": 0.1, "reserve": 0.5, "final_test": 0.1}
 
 
-@pytest.fixture(scope="module")
-def spark():
-    return SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", 4).config("spark.ui.enabled", "false").getOrCreate()
-
-
 def assigned(spark, rows):
     df = spark.createDataFrame(rows, "id string, grp string, entity string, label string")
     return [tuple(r) for r in components.splits(components.rooted(df, F.col("id"), F.col("grp"), F.col("entity"), F.col("label")), SHARES).collect()]

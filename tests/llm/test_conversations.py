@@ -3,16 +3,10 @@
 import json
 
 import pytest
-from pyspark.sql import SparkSession
 
 from loomlog.llm import conversations
 
 
-@pytest.fixture(scope="module")
-def spark():
-    return SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", 4).config("spark.ui.enabled", "false").getOrCreate()
-
-
 def text(x):
     return {"type": "text", "text": x}
 
@@ -41,3 +35,29 @@ def test_verdict_at_any_block_size(spark, block):
     df = spark.createDataFrame(rows, "session_id string, seq long, type string, data string, time_created string")
     got = {r.session_id: r.reason for r in conversations.defects(df, df.select("session_id").limit(0), block).collect()}
     assert got == {s: reason for s, (reason, _) in SESSIONS.items()}
+
+
+@pytest.mark.parametrize("block", [1, 2, 4096])
+def test_turns_in_order_at_any_block_size(spark, block):
+    said = [("system", text("s")), ("user", text("hi")), ("assistant", use("t")), ("user", result("t")), ("assistant", text("bye"))]
+    rows = [("A ", 7 + k, who, json.dumps({"content": [x]}), str(9 - k)) for k, (who, x) in enumerate(said)] * 2
+    rows += [("b", k, "user", d, None) for k, d in enumerate([None, "{", "[]"])] + [("c", None, None, None, None), (None, 1, "user", "{}", "x")]
+    df = spark.createDataFrame(rows[::-1], "session_id string, seq long, type string, data string, time_created string")
+    more = spark.createDataFrame([("none",)], "session_id string")
+    verdicts = conversations.defects(df, more, block)
+    assert {r.session_id: r.reason for r in verdicts.collect()} == {"a": None, "b": "broken", "c": "broken", "none": "empty"}
+    got = sorted((r.turn, r.speaker, r.text) for r in conversations.turns(df, verdicts, block).collect())
+    assert got == [(0, "system", "s"), (1, "user", "hi"), (2, "assistant", ""), (3, "user", ""), (4, "assistant", "bye")]
+
+
+def test_kahn_finds_cycles_and_breaks_ties_by_time():
+    row = lambda seq, time, uses=(), results=(): {"seq": seq, "time": time, "uses": list(uses), "results": list(results)}
+    order, left = conversations.topological([row(1, "5"), row(1, "3"), row(2, "1", results=["a"]), row(3, "9", uses=["a"])])
+    assert left == 2 and [r["time"] for r in order] == ["3", "5"]
+    assert conversations.topological([]) == ([], 0)
+
+
+def test_no_rows(spark):
+    df = spark.createDataFrame([], "session_id string, seq long, type string, data string, time_created string")
+    verdicts = conversations.defects(df, df.select("session_id"))
+    assert verdicts.count() == 0 and conversations.turns(df, verdicts).count() == 0

@@ -3,17 +3,10 @@
 import random
 
 import pyarrow as pa
-import pytest
-from pyspark.sql import SparkSession
 
 from loomlog.llm import overlap
 
 
-@pytest.fixture(scope="module")
-def spark():
-    return SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", 4).config("spark.ui.enabled", "false").getOrCreate()
-
-
 def levenshtein(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
