@@ -189,15 +189,33 @@ def _checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b")
 
 
-def cross_pairs(rows: DataFrame, least_words: int = 8) -> DataFrame:
-    """(id_a, id_b), smaller first, of all rows (id, is_evaluation, request, command) with an overlap across the splits."""
+def matched_classes(rows: DataFrame, least_words: int = 8) -> tuple[DataFrame, DataFrame]:
+    """(id, is_evaluation, cls) of all rows (id, is_evaluation, request, command) that take part, and the pairs (a, b) of their train and evaluation classes that overlap."""
     rows = rows.select("id", "is_evaluation", squeeze(F.col("request")).alias("request"), squeeze(F.col("command")).alias("command")).where("is_evaluation is not null")
     rows = rows.where(F.size(F.split("request", " ")) >= least_words)
     rows = rows.withColumn("cls", F.xxhash64("request", F.lit("\x01"), "command"))
     side = F.max(F.when(F.col("is_evaluation"), 2).otherwise(0)) + F.max(F.when(F.col("is_evaluation"), 0).otherwise(1))
     # the texts are kept once per class, the rows only by the number of their class
     classes, rows = cut(rows.groupBy("cls").agg(F.first("request").alias("request"), F.first("command").alias("command"), side.alias("side"))), rows.select("id", "is_evaluation", "cls")
-    pairs = _checked(candidates(classes), classes.select("cls", "request", "command"))
+    return rows, _checked(candidates(classes), classes.select("cls", "request", "command"))
+
+
+def cross_pairs(rows: DataFrame, least_words: int = 8) -> DataFrame:
+    """(id_a, id_b), smaller first, of all rows (id, is_evaluation, request, command) with an overlap across the splits."""
+    rows, pairs = matched_classes(rows, least_words)
     left = rows.where("not is_evaluation").select(F.col("cls").alias("a"), F.col("id").alias("i"))
     right = rows.where("is_evaluation").select(F.col("cls").alias("b"), F.col("id").alias("j"))
     return pairs.join(left, "a").join(right, "b").where("i <> j").select(F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b")).distinct()
+
+
+def partners(rows: DataFrame, least_words: int = 8) -> DataFrame:
+    """(id, n): with how many rows across the splits each row overlaps; rows without any are left out.
+
+    Counted by classes, so copies are never expanded into pairs: a row has the sizes of the classes that its own overlaps.
+    """
+    rows, pairs = matched_classes(rows, least_words)
+    size = rows.groupBy("cls", "is_evaluation").agg(F.count_distinct("id").alias("n"))
+    of_train = pairs.join(size.where("is_evaluation").select(F.col("cls").alias("b"), "n"), "b").groupBy(F.col("a").alias("_c")).agg(F.sum("n").alias("n")).withColumn("_e", F.lit(False))
+    of_held = pairs.join(size.where("not is_evaluation").select(F.col("cls").alias("a"), "n"), "a").groupBy(F.col("b").alias("_c")).agg(F.sum("n").alias("n")).withColumn("_e", F.lit(True))
+    counts = of_train.unionByName(of_held)
+    return rows.distinct().join(counts, (F.col("cls") == F.col("_c")) & (F.col("is_evaluation") == F.col("_e"))).groupBy("id").agg(F.sum("n").alias("n"))

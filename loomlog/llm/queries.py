@@ -99,7 +99,9 @@ def partition_name(c: Column) -> Column:
 def _split_rows(spark: SparkSession, d: str) -> DataFrame:
     """frozen_rows with request, command and whether the partition is an evaluation split; null for other partitions."""
     targets = table(spark, d, "split_targets").select(partition_name(F.col("partition")).alias("split"), "is_evaluation")
+    # the table repeats rows: each text of a record once, by its digest
     commands = table(spark, d, "commands_normalized").select("record_id", F.col("request_context").alias("request"), F.coalesce("command_text", F.try_element_at("command_argv", F.lit(-1))).alias("command"))
+    commands = commands.withColumn("_d", F.xxhash64("request", F.lit("\x01"), "command")).dropDuplicates(["record_id", "_d"]).drop("_d")
     rows = table(spark, d, "frozen_rows").select("id", "record_id", "source_kind", partition_name(F.col("partition")).alias("split")).distinct()
     # of the splits without evaluation only train is compared
     rows = rows.join(F.broadcast(targets), "split").where("is_evaluation or split = 'train'")  # a fixed table of four rows
@@ -114,11 +116,11 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
-    """Per split and source kind: how many rows have an overlap across the splits, and in how many pairs."""
-    rows = _split_rows(spark, d).select("id", "split", "source_kind").distinct()
-    pairs = p3_found(spark, d)
-    ids = pairs.select(F.col("id_a").alias("id")).unionByName(pairs.select(F.col("id_b").alias("id"))).groupBy("id").count()
-    return rows.join(ids, "id", "left").groupBy("split", "source_kind").agg(F.count("*").alias("n_rows"), F.count("count").alias("n_overlapping"), F.coalesce(F.sum("count"), F.lit(0)).alias("n_pairs"))
+    """Per split and source kind: how many rows have an overlap across the splits, and with how many rows in all."""
+    rows = _split_rows(spark, d)
+    ids = overlap.partners(rows)
+    kinds = rows.select("id", "split", "source_kind").distinct()
+    return kinds.join(ids, "id", "left").groupBy("split", "source_kind").agg(F.count("*").alias("n_rows"), F.count("n").alias("n_overlapping"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_pairs"))
 
 
 # ---- problem 6

@@ -336,10 +336,7 @@ def _observe(batches: Iterator[pa.RecordBatch], profiles: Profiles) -> Iterator[
     def pack() -> pa.RecordBatch:
         for lang, seen in tokens.items():
             for token, n in seen.items():
-                bare = token.rstrip(".")
-                count[lang, "word", bare, ""] += n
-                if token[-1] != ".":
-                    count[lang, "bare", bare.lower(), ""] += n
+                count[lang, "word", token.rstrip("."), "." if token[-1] == "." else ""] += n
         columns = list(zip(*((*k, n) for k, n in count.items()))) or [[]] * 5
         types = [pa.string()] * 4 + [pa.int64()]
         out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[x.split()[0] for x in STATS.split(", ")])
@@ -403,7 +400,8 @@ def learn(docs: DataFrame, profiles: Profiles) -> dict[str, Model]:
     of = lambda kind: stats.where(F.col("kind") == kind)
     words = of("word").groupBy("lang").agg(F.sum("n").cast("double").alias("n_all"))
     n_units = of("units").select("lang", F.col("n").cast("double").alias("n_units"))
-    word = of("word").select("lang", "a", F.col("n").cast("double").alias("n_word"))
+    word = of("word").groupBy("lang", "a").agg(F.sum("n").cast("double").alias("n_word"))
+    bare = of("word").where("b = ''").groupBy("lang", F.lower("a").alias("a")).agg(F.sum("n").alias("bare"))
     scale = words.join(n_units, "lang")
     start = of("start").where("a <> '' and n >= 5").select("lang", "a", F.col("n").cast("double").alias("n_start")).join(word, ["lang", "a"], "left").join(scale, "lang").where(F.col("n_start") >= LEAST_SHARE * F.col("n_units"))
     # a word of a script without spaces has no count of its own; its share of the units must do
@@ -417,7 +415,7 @@ def learn(docs: DataFrame, profiles: Profiles) -> dict[str, Model]:
     per = dotted.groupBy("lang", "a").agg(
         F.sum(F.when(F.col("kind") != "end", F.col("n")).otherwise(0)).alias("inner"), F.sum(F.when(F.col("kind") == "low", F.col("n")).otherwise(0)).alias("low"),
         F.sum(F.when(F.col("kind") == "end", F.col("n")).otherwise(0)).alias("ends"), F.sum(F.when(F.col("is_start") == 1, F.col("n")).otherwise(0)).alias("begun"),
-    ).join(of("bare").select("lang", "a", F.col("n").alias("bare")), ["lang", "a"], "left").na.fill(0, ["bare"])
+    ).join(bare, ["lang", "a"], "left").na.fill(0, ["bare"])
     dots = F.col("inner") + F.col("ends")
     per = per.where(dots >= LEAST).withColumn("dots", dots.cast("double")).join(words, "lang").join(stats.where("kind in ('up', 'low', 'end')").groupBy("lang").agg(F.sum("n").cast("double").alias("n_dots")), "lang").where(F.col("dots") >= LEAST_SHARE * F.col("n_dots"))
     # the period is part of the type if it is far likelier there than elsewhere, and what follows goes on with the sentence

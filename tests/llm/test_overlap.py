@@ -105,3 +105,11 @@ def test_span_that_occurs_more_than_a_hundred_thousand_times(spark):
         command = "".join(rng.choice("abcdefghij") for _ in range(40))
         rows += [(f"a{k:03}", False, request, command), (f"b{k:03}", True, request, command[:20] + "#" + command[21:])]
     assert found(spark, rows) == {(f"a{k:03}", f"b{k:03}") for k in range(130)}
+
+
+def test_partners_count_copies_without_pairs(spark):
+    request = "please look at the long report of the nightly build"
+    rows = [(f"t{k}", False, request, "ls -la src") for k in range(3)] + [(f"e{k}", True, request.upper(), "ls -la  srd") for k in range(2)] + [("x", True, "something else entirely that has eight words here", "pwd"), ("n", None, request, "ls -la src")]
+    df = spark.createDataFrame(rows, "id string, is_evaluation boolean, request string, command string")
+    assert {r["id"]: r["n"] for r in overlap.partners(df).collect()} == {"t0": 2, "t1": 2, "t2": 2, "e0": 3, "e1": 3}
+    assert overlap.cross_pairs(df).count() == 6
