@@ -221,6 +221,12 @@ def related(a: str, b: str) -> bool:
     return bool(a) and (all(c in rest for c in a) or any(a[i : i + 3] in b for i in range(len(a) - 2)))
 
 
+@functools.lru_cache(maxsize=1024)
+def _read(sketch: str) -> dict:
+    """Only sketches of fields that come or go are read."""
+    return json.loads(sketch)
+
+
 def compare(before: dict, after: dict) -> list[tuple]:
     """(field, old_field, change, old_types, new_types) from the fields {name: (types, flag, sketch)} of one file to those of the next."""
     gone, new = sorted(before.keys() - after.keys()), sorted(after.keys() - before.keys())
@@ -229,7 +235,7 @@ def compare(before: dict, after: dict) -> list[tuple]:
         for b in new:
             # flags agree in content by chance
             flags = all(x[1] and set(x[0]) <= {"boolean"} for x in (before[a], after[b]))
-            same = _cosine(before[a][2], after[b][2])
+            same = _cosine(_read(before[a][2]), _read(after[b][2]))
             if _bare(a) == _bare(b) or not flags and same >= (ALIKE_RELATED if related(a, b) else ALIKE):
                 scored.append((-same - 0.2 * related(a, b) - (_bare(a) == _bare(b)), a, b))
     renamed: dict[str, str] = {}
@@ -252,7 +258,7 @@ def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file_no = None
         for _, _, later, n, path, types, flag, sketch in group:
             # paths of top-level names: without the escapes
-            sides[later][_PLAIN.sub(r"\1", path)] = (types or [], flag, json.loads(sketch or "{}"))
+            sides[later][_PLAIN.sub(r"\1", path)] = (types or [], flag, sketch or "{}")
             file_no = n if later else file_no
         if sides[0] and sides[1]:
             yield _pack([(store, file_no, *c) for c in compare(*sides)], CHANGES)

@@ -187,3 +187,12 @@ def with_canonical(df: DataFrame, column: str, out: str = "canonical") -> DataFr
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([canonical(t) for t in b.column(at).to_pylist()], pa.string())], names=[*b.schema.names, out])
 
     return df.mapInArrow(go, schema)
+
+
+def schema(refs: list[str] | None = None) -> dict:
+    """The JSON schema of a plan; with refs its path is one of these references only."""
+    if refs is not None and (not refs or any(not isinstance(r, str) for r in refs)):
+        raise ValueError("references are texts, at least one")
+    path = {"type": "string"} | ({"enum": list(refs)} if refs else {})
+    members = {"op": {"type": "string", "enum": list(OPS)}, "path": path, "value": {"type": "string"}, "limit": {"type": "integer", "minimum": 1, "maximum": 100}}
+    return {"type": "object", "properties": members, "required": list(members), "additionalProperties": False}

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from loomlog.queries import calls, frozen, general, inspect, records
+from loomlog.queries import calls, frozen, general, generated, inspect, records
 from loomlog.queries.registry import ORACLES as CORE_ORACLES
 from loomlog.queries.registry import QUERIES as CORE_QUERIES
 
-__all__ = ["CORE_ORACLES", "CORE_QUERIES", "calls", "frozen", "general", "inspect", "records"]
+__all__ = ["CORE_ORACLES", "CORE_QUERIES", "calls", "frozen", "general", "generated", "inspect", "records"]

@@ -216,3 +216,47 @@ def script_census(paths: DataFrame, keys: list[str], path: str = "path") -> Data
 def added_files(text: Column) -> Column:
     """The files that a patch text adds, in order."""
     return F.transform(F.regexp_extract_all(text, F.lit(r"\*\*\* Add File: ([^\n]+)"), 1), F.trim)
+
+
+# ---- records
+
+
+def exit_of(codes: Column, n: Column, at: Column) -> Column:
+    """The exit code of the command at place `at` of n: only if there are as many codes as commands."""
+    return F.when(F.size(codes) == n, F.try_element_at(codes, at + 1))
+
+
+def codex_ok(unmatched: Column, failed: Column, code: Column) -> Column:
+    """Null without a result, false if the script failed, else by the exit code; a code that is not visible counts as success."""
+    return F.when(~unmatched, F.when(failed, F.lit(False)).otherwise(F.coalesce(code == 0, F.lit(True))))
+
+
+def codex_records(lines: DataFrame) -> DataFrame:
+    """Records of the lines (file, line, value): one per shell command of a call, one `exec(js-only)` for a cell without any; other tools give none."""
+    from loomlog.operators.cells import shell_commands
+    from loomlog.operators.reconcile import first_seen, pair
+
+    events = codex_events(lines)
+    calls = first_seen(codex_calls(events), ["call_id"], ["file", "line"])
+    results = codex_results(events).select("file", "line", "call_id", "output", "codes", "failed", "wall")
+    rows = pair(calls, results, ["file", "call_id"], ["line"])
+    base = ["source", "model", "file", "line", "call_id", "ts", "cwd", "tool", "output", "codes", "failed", "wall", "result_present"]
+    cell = rows.where("tool = 'exec'")
+    inner = shell_commands(cell.select(*base, F.col("input").alias("js")), "js")
+    seen = inner.select("file", "line").distinct()
+    only = cell.join(seen, ["file", "line"], "left_anti").select(*base, F.col("input").alias("js")).withColumns({"n_in_cell": F.lit(None).cast("int"), "idx_in_cell": F.lit(None).cast("int"), "cmd": F.lit(None).cast("string"), "shell_param": F.lit(None).cast("string"), "workdir": F.lit(None).cast("string"), "dynamic": F.lit(False)})
+    plain = rows.where(F.col("tool").isin("shell_command", "exec_command"))
+    v = F.try_parse_json("input")
+    plain = plain.select(*base, F.lit(None).cast("string").alias("js")).withColumns({"n_in_cell": F.lit(1), "idx_in_cell": F.lit(0)}).join(
+        plain.select("file", "line", F.col("command").alias("cmd"), member(v, "$.shell").alias("shell_param"), member(v, "$.workdir").alias("workdir"), F.lit(False).alias("dynamic")), ["file", "line"]
+    )
+    every = inner.withColumn("tool", F.lit("exec>exec_command")).unionByName(only.withColumn("tool", F.lit("exec(js-only)"))).unionByName(plain)
+    js_only = F.col("n_in_cell").isNull()
+    code = F.when(~js_only, exit_of(F.col("codes"), F.col("n_in_cell"), F.col("idx_in_cell")))
+    unmatched = ~F.col("result_present")
+    text = F.coalesce("output", F.lit(""))
+    return every.select(
+        "source", "model", F.col("file").alias("session"), "ts", "cwd", "tool", F.col("js").isNotNull().alias("via_js_cell"), "cmd", F.left("js", F.lit(1200)).alias("js"), "shell_param", "workdir", "dynamic",
+        codex_ok(unmatched, F.col("failed"), code).alias("ok"), code.alias("exit"), F.when(~js_only, code.isNotNull()).alias("exit_visible"), F.left(text, F.lit(700)).alias("out"), "wall", unmatched.alias("unmatched"),
+        "n_in_cell", "idx_in_cell", (text.contains('"session_id"') & code.isNull()).alias("backgrounded"),
+    )

@@ -46,3 +46,9 @@ def test_canonical_and_powershell(spark):
     assert {r["id"]: r["canonical"] for r in inspect.with_canonical(df, "j").collect()} == {1: '{"a":[true,1.0],"b":1}', 2: None, 3: None}
     assert inspect.canonical("true") != inspect.canonical("1")
     assert inspect.powershell(PLAN | {"path": "it's.txt"}) == "Get-Content -LiteralPath 'it''s.txt' -Encoding UTF8 -TotalCount 2"
+
+
+def test_schema_of_request_local_references():
+    assert inspect.schema(["file_1"])["properties"]["path"] == {"type": "string", "enum": ["file_1"]} and "enum" not in inspect.schema()["properties"]["path"]
+    with pytest.raises(ValueError):
+        inspect.schema([])

@@ -130,3 +130,17 @@ def test_sinks(spark, tmp_path):
     assert sinks.fill_page("<script>__DATA__</script>", {"gallery": ["</script>"]}) == '<script>{"gallery": ["<\\/script>"]}</script>'
     assert sinks.fill_page("__DATA__", {"gallery": [1], "n": 2}, gallery=False) == '{"gallery": [], "n": 2}'
     assert sinks.document({"t": df.where("id = 1")}) == {"t": [{"id": 1, "v": "a", "partition": "train"}]}
+
+
+def test_codex_records(spark):
+    turn = {"type": "turn_context", "payload": {"turn_id": "1", "model": "m"}}
+    cell = lambda cid, js: {"type": "response_item", "payload": {"type": "custom_tool_call", "name": "exec", "call_id": cid, "input": js}}
+    out = lambda cid, text: {"type": "response_item", "payload": {"type": "custom_tool_call_output", "call_id": cid, "output": text}}
+    two = "tools.exec_command({cmd: 'a'}); tools.exec_command({cmd: x})"
+    fn = {"type": "response_item", "payload": {"type": "function_call", "name": "shell_command", "call_id": "f", "arguments": '{"command": "ls", "workdir": "/w"}'}}
+    events = [turn, cell("c1", two), out("c1", '{"exit_code": 0} {"exit_code": 2}'), cell("c2", two), out("c2", '{"exit_code": 1}'), cell("c3", "1 + 1"), out("c3", "Script failed"), cell("c4", "tools.exec_command({cmd: 'z'})"), fn, out("f", 'running {"session_id": 4}'), cell("c1", "tools.exec_command({cmd: 'again'})")]
+    got = sorted(((r["cmd"], r["tool"], r["ok"], r["exit"], r["exit_visible"], r["unmatched"], r["backgrounded"], r["idx_in_cell"]) for r in T.codex_records(lines_of(spark, events)).collect()), key=str)
+    assert got == sorted([
+        ("a", "exec>exec_command", True, 0, True, False, False, 0), (None, "exec>exec_command", False, 2, True, False, False, 1), ("a", "exec>exec_command", True, None, False, False, False, 0), (None, "exec>exec_command", True, None, False, False, False, 1),
+        (None, "exec(js-only)", False, None, None, False, False, None), ("z", "exec>exec_command", None, None, False, True, False, 0), ("ls", "shell_command", True, None, False, False, True, 0),
+    ], key=str)
