@@ -192,7 +192,7 @@ def recover(text: str | None) -> tuple[str, list[dict]]:
             if c in "([{":
                 head = _HEAD.search(text[before:at])
                 opened.append((c, (head[1] or "arrow") if head else ""))
-                before = at + 1
+                before = at + 1 if c == "{" else before
             elif c in ")]}":
                 if not opened or "([{".index(opened.pop()[0]) != ")]}".index(c):
                     raise Unclosed

@@ -172,7 +172,7 @@ def _turns(spark: SparkSession, d: str) -> DataFrame:
 def as_of(turns: DataFrame) -> DataFrame:
     """Turns with the last user text and the last model before each."""
     said = turns.withColumn("_said", F.when(F.col("is_user") & (F.col("text") != ""), F.col("text")))
-    return sessions.carry_forward(said, ["session"], ["seq", "id", "text", "model", "is_user"], {"context": "_said", "model_as_of": "model"})
+    return sessions.carry_forward(said, ["session"], ["seq", "id", "text", "model", "is_user"], [F.floor(F.col("seq") / 4096)], {"context": "_said", "model_as_of": "model"})
 
 
 @query(_ASOF + "SELECT session, seq, id, left(coalesce(context, ''), 8000) AS request_context, coalesce(length(context) > 8000, false) AS context_truncated, CASE WHEN context IS NULL THEN 'missing' ELSE 'preceding_user_message_unverified' END AS context_association, model_as_of FROM w WHERE NOT coalesce(is_user, false)")

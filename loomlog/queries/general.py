@@ -15,11 +15,9 @@ def _instants(spark: SparkSession, d: str, where: Column) -> DataFrame:
     rows = [
         table(spark, d, "records").select(F.lit("records").alias("tbl"), F.col("ordinal").cast("string").alias("row_key"), "session", F.col("ts").cast("string").alias("value")),
         table(spark, d, "session_message")
-        .select(F.lit("session_message").alias("tbl"), F.col("id").alias("row_key"), F.col("session_id").alias("session"), F.col("time_created").cast("string").alias("value"))
-        .distinct(),
+        .select(F.lit("session_message").alias("tbl"), F.col("id").alias("row_key"), F.col("session_id").alias("session"), F.col("time_created").cast("string").alias("value")),
         table(spark, d, "commands_normalized")
-        .select(F.lit("commands_normalized").alias("tbl"), F.col("record_id").alias("row_key"), "session", F.col("timestamp").cast("string").alias("value"))
-        .distinct(),
+        .select(F.lit("commands_normalized").alias("tbl"), F.col("record_id").alias("row_key"), "session", F.col("timestamp").cast("string").alias("value")),
     ]
     zones = table(spark, d, "sessions").groupBy(clean_key(F.col("id")).alias("zone_key")).agg(F.min("tz").alias("tz")).where("zone_key is not null")
     return instants.normalise(rows[0].unionByName(rows[1]).unionByName(rows[2]).where(where), "value", clean_key(F.col("session")), zones)
@@ -28,7 +26,7 @@ def _instants(spark: SparkSession, d: str, where: Column) -> DataFrame:
 @query(instants_sql.ALL)
 def p2_instants(spark: SparkSession, d: str) -> DataFrame:
     """Every timestamp of the three tables with its instant, null where it denotes none."""
-    return _instants(spark, d, F.lit(True)).select("tbl", "row_key", "value", "epoch_ms")
+    return _instants(spark, d, F.lit(True)).select("tbl", "row_key", "value", "epoch_ms").distinct()  # repeated rows go where only the results are left
 
 
 @query(instants_sql.FOUND)

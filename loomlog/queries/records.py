@@ -417,7 +417,7 @@ def top_06_retry_examples(spark, d):
 def win_03_carry_forward(spark, d):
     """Model and working directory as of each command: the last known ones of its session (JOIN-8, WIN-3)."""
     rows = notes(spark, d, "sort_ms", more=("cwd",)).select("source", "session", "sort_ms", "ordinal", "model", "cwd")
-    return sessions.carry_forward(rows, ["source", "session"], ["sort_ms", "ordinal"], {"model_as_of": "model", "cwd_as_of": "cwd"}, strictly_before=False).select("ordinal", "model_as_of", "cwd_as_of")
+    return sessions.carry_forward(rows, ["source", "session"], ["sort_ms", "ordinal"], sessions.time_chunk(F.col("sort_ms"), F.col("ordinal")), {"model_as_of": "model", "cwd_as_of": "cwd"}, strictly_before=False).select("ordinal", "model_as_of", "cwd_as_of")
 
 
 _TAIL = annotated("family", "vendor", "cat", "cause", "interp0", "purpose", "dialect", "host", "cx_len", "cx_segs", "mismatch", "hidden", "day") + ", k AS (SELECT family AS kf, count(*) AS kn FROM a GROUP BY 1), b AS (SELECT a.*, CASE WHEN kn >= 200 THEN family ELSE 'Other models' END AS fam FROM a JOIN k ON family = kf) "

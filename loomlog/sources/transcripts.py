@@ -215,7 +215,7 @@ def script_census(paths: DataFrame, keys: list[str], path: str = "path") -> Data
 
 def added_files(text: Column) -> Column:
     """The files that a patch text adds, in order."""
-    return F.transform(F.regexp_extract_all(text, F.lit(r"\*\*\* Add File: ([^\n]+)"), 1), F.trim)
+    return F.transform(F.regexp_extract_all(text, F.lit(r"\*\*\* Add File: ([^\n]+)"), 1), lambda x: F.trim(x))
 
 
 # ---- records

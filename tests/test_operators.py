@@ -38,7 +38,7 @@ def test_hosts(spark, source, tool, shell, host):
 
 
 @pytest.mark.parametrize("cmd, dialect, interp, cat, bucket", [
-    (None, "js-only", [], "js-only", "js-only"), ("", "js-only", [], "js-only", "js-only"), ("ls -la", "posix", [], "list/navigate", "single command"), ("Get-ChildItem -Recurse", "powershell", [], "search", "single command"), ("dir & type a.txt", "cmd", [], "list/navigate", "single command"),
+    (None, "js-only", [], "js-only", "js-only"), ("", "js-only", [], "js-only", "js-only"), ("ls -la", "posix", [], "list/navigate", "single command"), ("Get-ChildItem -Recurse", "powershell", [], "search", "single command"), ("dir & type a.txt", "cmd", [], "read-file", "single command"),
     ("Get-Content a | head -3", "mixed", [], "read-file", "single command"), ("git status && npm test", "neutral", [], "build/test/check", "chain (2-4 commands)"), ("python -c 'print(1)'", "neutral", ["python -c"], "other", "single command"),
     ("cat > a.md <<'EOF'\nx\nEOF\ny", "posix", ["heredoc"], "write-file", "script (4+ lines or >600 chars)"), (" ; ; ", "neutral", [], "other", "single command"), ("a;b;c;d;e", "neutral", [], "other", "batch (5+ commands)"),
 ])
@@ -250,3 +250,22 @@ def test_instants(spark):
     zones = spark.createDataFrame([(f"s{k}", z) for k, (_, z, _) in enumerate(TIMES)], "zone_key string, tz string")
     got = {r["id"]: r["epoch_ms"] for r in instants.normalise(rows, "value", F.col("session"), zones).collect()}
     assert got == {k: ms for k, (_, _, ms) in enumerate(TIMES)}
+
+
+def test_chunks_of_a_session_change_nothing(spark):
+    rng = random.Random(11)
+    rows = [(f"s{rng.randrange(3)}" if rng.random() < 0.95 else None, rng.randrange(50), k, rng.choice([None, f"v{k}"])) for k in range(400)]
+    df = spark.createDataFrame(rows, "s string, t int, k int, v string")
+    want_next, want_last = {}, {}
+    groups = defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r[1], r[2])):
+        groups[r[0]].append(r)
+    for g in groups.values():
+        last = None
+        for a, b in zip(g, [*g[1:], None]):
+            want_next[a[2]], want_last[a[2]] = b and b[2], last
+            last = a[3] or last
+    for width in (1, 7, 1000):
+        chunk = [F.floor(F.col("t") / width)]
+        assert {r["k"]: r["n"] and r["n"]["k"] for r in sessions.following(df, ["s"], ["t", "k"], chunk, F.struct("k"), "n").collect()} == want_next
+        assert {r["k"]: r["was"] for r in sessions.carry_forward(df, ["s"], ["t", "k"], chunk, {"was": "v"}).collect()} == want_last
