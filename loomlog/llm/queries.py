@@ -62,6 +62,28 @@ def _v2_sessions(spark: SparkSession, d: str) -> DataFrame:
     return named.join(table(spark, d, "sessions").where(clean_key(F.col("store")) == "v2").select(clean_key(F.col("id")).alias("session_id")), "session_id", "left_semi")
 
 
+def _clean_sql(c: str) -> str:
+    return f"lower(regexp_replace({c}, '^\\s+|\\s+$', '', 'g'))"
+
+
+_SPEAKERS_SQL = "CASE {0} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in conversations.SPEAKERS.items()) + " END"
+ORACLES["p5_found"] = f"""WITH m AS (SELECT {_clean_sql('session_id')} AS s, seq, type, CASE WHEN json_valid(data) AND json_type(data) = 'OBJECT' THEN CAST(data AS JSON) END AS d FROM session_message WHERE session_id IS NOT NULL),
+k AS (SELECT s, seq, d, CASE WHEN d IS NULL OR seq IS NULL THEN NULL ELSE {_SPEAKERS_SQL.format("coalesce(nullif(" + _clean_sql('type') + ", ''), " + _clean_sql("d ->> '$.role'") + ")")} END AS who FROM m),
+c AS (SELECT *, CASE json_type(d, '$.content') WHEN 'ARRAY' THEN json_extract(d, '$.content') WHEN 'NULL' THEN CAST('[]' AS JSON) ELSE CASE WHEN json_extract(d, '$.content') IS NULL THEN CAST('[]' AS JSON) ELSE json_array(json_extract(d, '$.content')) END END AS x FROM k),
+g AS (SELECT DISTINCT s, seq, who, x FROM c WHERE who IS NOT NULL),
+b AS (SELECT s, seq, who, json_extract(x, '$[' || i || ']') AS e FROM (SELECT *, unnest(range(CAST(json_array_length(x) AS BIGINT))) AS i FROM g)),
+t AS (SELECT s, seq, who, CASE WHEN json_type(e) = 'VARCHAR' THEN 'text' ELSE coalesce(e ->> '$.type', 'text') END AS kind, CASE WHEN json_type(e) = 'VARCHAR' THEN e ->> '$' WHEN json_type(e, '$.text') = 'VARCHAR' THEN e ->> '$.text' END AS txt, e ->> '$.id' AS id, e ->> '$.tool_use_id' AS rid FROM b WHERE json_type(e) IN ('VARCHAR', 'OBJECT')),
+q AS (SELECT s, seq, any_value(who) AS who, coalesce(bool_or(kind IN ('tool_use', 'tool_result')), false) AS tool, coalesce(bool_or(kind NOT IN ('tool_use', 'tool_result') AND regexp_matches(txt, '\\S')), false) AS said FROM (SELECT g.s, g.seq, g.who, t.kind, t.txt FROM g LEFT JOIN t ON g.s = t.s AND g.seq = t.seq AND g.who = t.who) GROUP BY s, seq),
+v AS (SELECT s, seq, who, lead(CASE WHEN who = 'assistant' THEN 'a' ELSE 'u' END) OVER (PARTITION BY s ORDER BY seq) AS nxt FROM q WHERE who = 'assistant' OR who = 'user' AND said),
+ids AS (SELECT s, id, min(u) AS u, min(r) AS r FROM (SELECT s, id, seq AS u, NULL AS r FROM t WHERE kind = 'tool_use' AND id IS NOT NULL UNION ALL SELECT s, rid, NULL, seq FROM t WHERE kind = 'tool_result' AND rid IS NOT NULL) GROUP BY s, id),
+f AS (SELECT s, bool_or(who IS NULL) AS unreadable, max(seq) - min(seq) + 1 > count(DISTINCT seq) AS gap FROM k GROUP BY s),
+a AS (SELECT s FROM m UNION SELECT s FROM (SELECT {_clean_sql('session')} AS s FROM records) WHERE s IN (SELECT {_clean_sql('id')} FROM sessions WHERE {_clean_sql('store')} = 'v2')),
+z AS (SELECT a.s, f.s IS NULL OR NOT f.unreadable AND NOT coalesce((SELECT bool_or(who <> 'system' AND (said OR tool)) FROM q WHERE q.s = a.s), false) AS nothing,
+f.unreadable OR coalesce(f.gap, false) OR EXISTS (SELECT 1 FROM g WHERE g.s = a.s GROUP BY seq HAVING count(*) > 1) OR coalesce((SELECT arg_min(who, seq) FROM q WHERE q.s = a.s AND who <> 'system') <> 'user', false) OR EXISTS (SELECT 1 FROM ids WHERE ids.s = a.s AND r IS NOT NULL AND (u IS NULL OR r <= u)) AS bad,
+EXISTS (SELECT 1 FROM v WHERE v.s = a.s AND who = 'user' AND coalesce(nxt, 'u') = 'u') OR EXISTS (SELECT 1 FROM ids WHERE ids.s = a.s AND u IS NOT NULL AND r IS NULL) AS lost FROM a LEFT JOIN f ON a.s = f.s)
+SELECT s AS session_id, CASE WHEN nothing THEN 'empty' WHEN bad THEN 'broken' ELSE 'missing_reply' END AS reason FROM z WHERE nothing OR bad OR lost"""
+
+
 @query
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """The sessions that are dropped, with the reason."""
@@ -108,6 +130,20 @@ def _split_rows(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(commands, "record_id")
 
 
+_NAME_SQL = "regexp_replace(" + _clean_sql("partition") + ", '[\\s_-]+', '_', 'g')"
+_SPLIT_SQL = "CASE {0} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in PARTITION_NAMES.items()) + " ELSE {0} END"
+_TEXT_SQL = "trim(lower(regexp_replace(coalesce({0}, ''), '\\s+', ' ', 'g')))"
+_NEAR_SQL = "abs(length(t.{0}) - length(e.{0})) <= greatest(length(t.{0}), length(e.{0})) // 5 AND levenshtein(t.{0}, e.{0}) <= greatest(length(t.{0}), length(e.{0})) // 5"
+#: every train row against every evaluation row, which only small tables allow
+_OVERLAPS_SQL = f"""WITH g AS (SELECT {_SPLIT_SQL.format(_NAME_SQL)} AS split, is_evaluation FROM split_targets),
+f AS (SELECT DISTINCT id, record_id, source_kind, {_SPLIT_SQL.format(_NAME_SQL)} AS split FROM frozen_rows),
+x AS (SELECT DISTINCT f.id, f.split, f.source_kind, g.is_evaluation AS held, {_TEXT_SQL.format('c.request_context')} AS request, {_TEXT_SQL.format('coalesce(c.command_text, c.command_argv[-1])')} AS command FROM f JOIN g USING (split) JOIN commands_normalized c ON f.record_id = c.record_id WHERE g.is_evaluation OR f.split = 'train'),
+n AS (SELECT * FROM x WHERE len(string_split(request, ' ')) >= 8),
+p AS (SELECT DISTINCT t.id AS a, e.id AS b FROM n t JOIN n e ON NOT t.held AND e.held AND t.id <> e.id AND {_NEAR_SQL.format('command')} AND {_NEAR_SQL.format('request')}) """
+ORACLES["p3_found"] = _OVERLAPS_SQL + "SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM p"
+ORACLES["p3_report"] = _OVERLAPS_SQL + ", i AS (SELECT id, count(*) AS n FROM (SELECT a AS id FROM p UNION ALL SELECT b FROM p) GROUP BY id) SELECT split, source_kind, count(*) AS n_rows, count(n) AS n_overlapping, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_pairs FROM (SELECT DISTINCT id, split, source_kind FROM x) LEFT JOIN i USING (id) GROUP BY split, source_kind"
+
+
 @query
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Every pair of a train and an evaluation row whose requests and commands are equal or almost equal."""
