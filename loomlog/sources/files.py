@@ -12,7 +12,7 @@ from __future__ import annotations
 import hashlib
 import os
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -166,3 +166,19 @@ def sqlite_rows(spark: SparkSession, paths: list[str], tables: tuple[str, ...] =
 
     files = spark.createDataFrame([(p,) for p in dict.fromkeys(paths)], "path string")
     return files.repartition(max(1, len(paths)), "path").mapInArrow(go, ROWS)
+
+
+def gather(readers: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame | None, dict[str, str]]:
+    """(rows of all sources in the order given, failures): a source that cannot be planned, such as one whose folder is missing, leaves the others alone.
+
+    Columns that a source lacks are null there.
+    """
+    out, failed = None, {}
+    for name, read in readers.items():
+        try:
+            rows = read()
+        except Exception as e:  # whatever keeps one source from being read is reported
+            failed[name] = f"{type(e).__name__}: {e}".splitlines()[0][:200]
+            continue
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out, failed

@@ -144,3 +144,10 @@ def test_codex_records(spark):
         ("a", "exec>exec_command", True, 0, True, False, False, 0), (None, "exec>exec_command", False, 2, True, False, False, 1), ("a", "exec>exec_command", True, None, False, False, False, 0), (None, "exec>exec_command", True, None, False, False, False, 1),
         (None, "exec(js-only)", False, None, None, False, False, None), ("z", "exec>exec_command", None, None, False, True, False, 0), ("ls", "shell_command", True, None, False, False, True, 0),
     ], key=str)
+
+
+def test_one_failing_source_leaves_the_others(spark, tmp_path):
+    a, b = spark.createDataFrame([(1, "x")], "id int, v string"), spark.createDataFrame([(2,)], "id int")
+    rows, failed = files.gather({"a": lambda: a, "gone": lambda: spark.read.parquet(str(tmp_path / "none")), "b": lambda: b})
+    assert sorted(tuple(r) for r in rows.collect()) == [(1, "x"), (2, None)] and list(failed) == ["gone"]
+    assert files.gather({}) == (None, {})
