@@ -150,13 +150,33 @@ def _add(line: dict, into: dict) -> None:
             _nested(v, at, into)
 
 
-def _merge(into: dict, more: dict) -> None:
-    for k, (types, sketch) in more.items():
-        if k in into:
-            into[k][0].update(types)
-            into[k][1].update(sketch)
-        else:
-            into[k] = (Counter(types), Counter(sketch))
+def _text(sketch: dict) -> str:
+    """A sketch as text; most are never read again."""
+    return ",".join(f"{k}:{v!r}" for k, v in sketch.items())
+
+
+@functools.lru_cache(maxsize=1024)
+def _read(sketch: str) -> dict:
+    """Only sketches of fields that come or go, or of files in several parts, are read."""
+    return {k: float(v) for k, _, v in (x.partition(":") for x in sketch.split(","))} if sketch else {}
+
+
+def _merge(parts: Iterator[dict]) -> dict:
+    """The sum of partial profiles {path: (types, text of the sketch)}, one of which is held at a time; a single one is passed on as it is."""
+    first = next(parts)
+    out: dict | None = None
+    for part in parts:
+        if out is None:
+            out = {k: (Counter(types), Counter(_read(sketch))) for k, (types, sketch) in first.items()}
+        for k, (types, sketch) in part.items():
+            into = out.setdefault(k, (Counter(), Counter()))
+            into[0].update(types)
+            into[1].update(_read(sketch))
+    return first if out is None else {k: (types, _text(sketch)) for k, (types, sketch) in out.items()}
+
+
+def _held(profile: dict) -> str:
+    return json.dumps({k: (types, _text(sketch)) for k, (types, sketch) in profile.items()})
 
 
 def _pack(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -173,24 +193,22 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for store, file_no, raw in zip(*(batch.column(i).to_pylist() for i in range(3))):
             if (store, file_no) != at:
                 if held:
-                    done.append((*at, json.dumps(held)))
+                    done.append((*at, _held(held)))
                 at, held = (store, file_no), {}
             ok, line = read_json(raw)
             if ok and isinstance(line, dict):
                 _add(line, held)
         yield _pack(done, PROFILE)
     if held:
-        yield _pack([(*at, json.dumps(held))], PROFILE)
+        yield _pack([(*at, _held(held))], PROFILE)
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial profiles arrive file by file; only the sum for one file is held. One row per path comes out."""
     rows = (r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(3))))
     for key, group in itertools.groupby(rows, key=lambda r: r[:2]):
-        total: dict = {}
-        for _, _, part in group:
-            _merge(total, json.loads(part))
-        yield _pack([(*key, path, sorted(t for t in types if t[0] != "~"), "~flag" in types, json.dumps(sketch), sorted((t, n) for t, n in types.items() if t != "~flag")) for path, (types, sketch) in total.items()], PATHS)
+        total = _merge(json.loads(part) for _, _, part in group)
+        yield _pack([(*key, path, sorted(t for t in types if t[0] != "~"), "~flag" in types, sketch, sorted((t, n) for t, n in types.items() if t != "~flag")) for path, (types, sketch) in total.items()], PATHS)
 
 
 def path_statistics(lines: DataFrame) -> DataFrame:
@@ -221,12 +239,6 @@ def related(a: str, b: str) -> bool:
     return bool(a) and (all(c in rest for c in a) or any(a[i : i + 3] in b for i in range(len(a) - 2)))
 
 
-@functools.lru_cache(maxsize=1024)
-def _read(sketch: str) -> dict:
-    """Only sketches of fields that come or go are read."""
-    return json.loads(sketch)
-
-
 def compare(before: dict, after: dict) -> list[tuple]:
     """(field, old_field, change, old_types, new_types) from the fields {name: (types, flag, sketch)} of one file to those of the next."""
     gone, new = sorted(before.keys() - after.keys()), sorted(after.keys() - before.keys())
@@ -258,7 +270,7 @@ def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file_no = None
         for _, _, later, n, path, types, flag, sketch in group:
             # paths of top-level names: without the escapes
-            sides[later][_PLAIN.sub(r"\1", path)] = (types or [], flag, sketch or "{}")
+            sides[later][_PLAIN.sub(r"\1", path)] = (types or [], flag, sketch or "")
             file_no = n if later else file_no
         if sides[0] and sides[1]:
             yield _pack([(store, file_no, *c) for c in compare(*sides)], CHANGES)
