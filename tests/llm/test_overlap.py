@@ -113,3 +113,61 @@ def test_partners_count_copies_without_pairs(spark):
     df = spark.createDataFrame(rows, "id string, is_evaluation boolean, request string, command string")
     assert {r["id"]: r["n"] for r in overlap.partners(df).collect()} == {"t0": 2, "t1": 2, "t2": 2, "e0": 3, "e1": 3}
     assert overlap.cross_pairs(df).count() == 6
+
+
+def _side(texts):
+    return overlap._Side(pa.table({"request": texts, "commands": [["ls -la"]] * len(texts), "classes": [[k] for k in range(len(texts))]}))
+
+
+def _edited(rng, text, most):
+    out = list(text)
+    for _ in range(rng.randint(0, most)):
+        at = rng.randrange(len(out)) if out else 0
+        kind = rng.randrange(3) if out else 2
+        if kind == 0:
+            out[at] = rng.choice("xyzé")
+        elif kind == 1:
+            del out[at]
+        else:
+            out.insert(at, rng.choice("xyz漢"))
+    return "".join(out)
+
+
+def test_only_near_requests_leave_a_pair_of_blocks():
+    """Requests of one template with other names share most n-grams: pairs of them grew with the square and were all written out."""
+    rng = random.Random(7)
+    name = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(11))
+    a, b = ([f"restart {name()} but leave {name()} as it is and show what {name()} says" for _ in range(60)] for _ in range(2))
+    b += [_edited(rng, x, len(x) // 5) for x in a[:20]]
+    t, e = (pa.table({"request": x, "commands": [["ls -la"]] * len(x), "classes": [[k] for k in range(len(x))]}) for x in (a, b))
+    want = {(i, j) for i, x in enumerate(a) for j, y in enumerate(b) if near(x, y)}
+    got = overlap._compare(t, e)
+    assert len(want) >= 15 and set(zip(got["a"].to_pylist(), got["b"].to_pylist())) == want
+
+
+def test_near_requests_equal_to_exhaustive_comparison(monkeypatch):
+    rng = random.Random(8)
+    a = ["".join(rng.choice("ab c") for _ in range(rng.choice([1, 2, 7, 20, 64, 65, 140]))) for _ in range(40)]
+    b = list({_edited(rng, x, len(x) // 4) or "q" for x in a})
+    x, y = _side(a), _side(b)
+    want = {(s, t) for s in x.texts for t in y.texts if near(s, t)}
+    found_now = lambda: {(x.texts[i], y.texts[j]) for p, q in overlap._near_requests(x, y) for i, j in zip(p, q)}
+    assert len(want) > 20 and found_now() == want
+    for name, value in (("SLICE", 3), ("WORDS", 8), ("LOOKED_UP", 2), ("EDITS", 5), ("TABLE", 1), ("PARTS", 3), ("PAIRS", 7)):
+        monkeypatch.setattr(overlap, name, value)
+    assert found_now() == want
+
+
+def test_texts_too_long_for_bits_are_kept_for_the_later_check(monkeypatch):
+    monkeypatch.setattr(overlap, "LONG", 10)
+    x, y = _side(["a request of more than ten letters"]), _side(["a request of more then ten letters"])
+    assert [(list(p), list(q)) for p, q in overlap._near_requests(x, y)] == [([0], [0])]
+
+
+def test_blocks_cover_each_length_once(monkeypatch):
+    monkeypatch.setattr(overlap, "CHARS", 1 << 24)
+    sizes = [(n, 1 + n % 5) for n in range(3, 90, 2)] + [(91, 100_000), (4_000_000, 9)]
+    runs = overlap._blocks(sizes)
+    for size, n in sizes:
+        assert len([r for r in runs if r[0] <= size <= r[1]]) == 1
+    assert dict((r[0], r[2]) for r in runs)[91] == 8 and dict((r[0], r[2]) for r in runs)[4_000_000] == 3
